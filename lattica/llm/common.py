@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Python works through text in blocks of about this many bytes, whatever the Arrow batch size, so that memory stays bounded.
 BLOCK_BYTES = 4 << 20
@@ -45,6 +46,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             start = stop
 
 
+def wider(schema: T.StructType, added: str) -> T.StructType:
+    """A new schema with the columns ``added`` ("name type, ...") at its end."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
