@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .compression_classifier import op7_quality_classifier
+from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
+from .line_dedup import op9_line_dedup
 from .packing import op4_packing
 from .quality_rules import op1_quality_rules
 from .token_counts import op8_token_counts
@@ -16,7 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: Only what SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
