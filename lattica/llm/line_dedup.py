@@ -69,7 +69,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH lines AS (
-    SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents
+    SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), keyed AS (
     SELECT *, md5(trim(raw, ' ')) AS line FROM lines WHERE trim(raw, ' ') <> ''
 ), signed AS (
@@ -79,10 +79,10 @@ WITH lines AS (
 ), found AS (
     SELECT line, min(first_doc) AS first_doc FROM votes GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
 ), marked AS (
-    SELECT l.doc_id, l.at, l.raw, f.line IS NOT NULL AS gone
+    SELECT l.doc_id, l.pos, l.raw, f.line IS NOT NULL AS gone
     FROM lines l LEFT JOIN found f ON md5(trim(l.raw, ' ')) = f.line AND trim(l.raw, ' ') <> '' AND f.first_doc <> l.doc_id
 ), whole AS (
-    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY doc_id
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, length(coalesce(kept, d.text))::BIGINT AS n_chars_kept, md5(coalesce(kept, d.text)) AS text_md5
 FROM documents d LEFT JOIN whole w ON d.doc_id = w.doc_id
