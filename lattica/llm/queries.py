@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .compression_classifier import op7_quality_classifier
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op9_line_dedup
+from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op4_packing
 from .quality_rules import op1_quality_rules
 from .token_counts import op8_token_counts
@@ -16,6 +17,7 @@ from .token_counts import op8_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_packing": op4_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
