@@ -11,12 +11,14 @@ from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op9_line_dedup
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op4_packing
+from .projection_forest import op5_projection_forest
 from .quality_rules import op1_quality_rules
 from .token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_packing": op4_packing,
+    "op5_projection_forest": op5_projection_forest,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
