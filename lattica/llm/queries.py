@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import ORACLE_SQL as CHAT_SQL
+from .chat_format import op2_chat_format
 from .compression_classifier import op7_quality_classifier
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op9_line_dedup
@@ -17,6 +19,7 @@ from .token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_format": op2_chat_format,
     "op4_packing": op4_packing,
     "op5_projection_forest": op5_projection_forest,
     "op6_ngram_jaccard": op6_ngram_jaccard,
@@ -26,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Only what SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": CHAT_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
