@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import ORACLE_SQL as CHAT_SQL
 from .chat_format import op2_chat_format
 from .compression_classifier import op7_quality_classifier
+from .html_extraction import op3_html_extraction
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op9_line_dedup
 from .ngram_jaccard import op6_ngram_jaccard
@@ -20,6 +21,7 @@ from .token_counts import op8_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
     "op5_projection_forest": op5_projection_forest,
     "op6_ngram_jaccard": op6_ngram_jaccard,
