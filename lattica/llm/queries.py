@@ -14,6 +14,7 @@ from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op9_line_dedup
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op4_packing
+from .piece_sampling import op10_piece_sampling
 from .projection_forest import op5_projection_forest
 from .quality_rules import op1_quality_rules
 from .token_counts import op8_token_counts
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 
 #: Only what SQL can express; the others are tested against brute force in tests/llm.
