@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Python works through text in blocks of about this many bytes, whatever the Arrow batch size, so that memory stays bounded.
@@ -28,9 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    The shuffle files that led to it are needed no more; Spark drops them when the driver collects its garbage, so it does.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
+
+
+def some_of(rows: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows whose ``key`` is in ``ids(key)``: by broadcast if there are at most ``most`` ids (8 bytes each), else by shuffle."""
+    ids = checkpointed(ids.distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

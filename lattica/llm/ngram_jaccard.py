@@ -6,8 +6,8 @@ only reach the wanted similarity if their prefixes, a fixed share of the set, ha
 1. Equal sets are one class; classes with identical prefixes and size are one group. Only groups are joined.
 2. Within a prefix n-gram and size band each group is paired with one anchor, each class with its group's first; the pairs are
    verified on whole texts and united. Copies in any number are thereby united in as many verifications as there are copies.
-3. Groups that share a prefix n-gram and are still apart are paired, filtered by size and position, expanded to their members
-   and verified. Pairs inside a component need no look: links only decide components.
+3. Groups that share a prefix n-gram and are still apart are paired, filtered by size, position and a bitmap of the set, expanded
+   to their members and verified. Pairs inside a component need no look: links only decide components.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, slices, table, utf8
+from .common import checkpointed, mix64, slices, some_of, table, utf8
 from .components import connected_components
 from .words import windows, word_hashes
 
@@ -28,6 +28,11 @@ from .words import windows, word_hashes
 ORDER_ROWS, ORDER_LEAST, ORDER_MOST = 8192, 6, 200_000
 
 
+#: Bits of the parity bitmap of a set: each n-gram flips one, so two sets differ in at least as many n-grams as bitmaps in bits.
+BITMAP = 512
+BITS = [f"b{k}" for k in range(BITMAP // 64)]
+
+
 def shingles(text: bytes, n: int) -> np.ndarray:
     """The sorted distinct n-gram hashes of a text, lower-cased in A-Z; with fewer words the whole sequence is one."""
     hashes = word_hashes(text.lower().split())
@@ -66,28 +71,29 @@ def _features(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sizes, marks, prefixes = [], [], []
+            sizes, marks, bitmaps, prefixes = [], [], [], []
             for text in utf8(part.column(1)):
                 grams = shingles(text, n)
                 frequent = late.value[np.minimum(np.searchsorted(late.value, grams), len(late.value) - 1)] == grams if len(late.value) else np.zeros(len(grams), bool)
                 prefix = np.concatenate([grams[~frequent], grams[frequent]])[: prefix_length(len(grams), percent)]
                 sizes.append(len(grams))
                 marks.append([np.bitwise_xor.reduce(mix64(grams)), grams.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(prefix)), prefix.sum(dtype=np.uint64)])
+                bitmaps.append(np.packbits((np.bincount((grams % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).view(np.int64))
                 prefixes.append(prefix.view(np.int64))
-            marks = np.array(marks, dtype=np.uint64).view(np.int64)
+            marks = np.concatenate([np.array(marks, dtype=np.uint64).view(np.int64), np.array(bitmaps)], axis=1)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), *(pa.array(marks[:, k]) for k in range(4)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes)))],
-                ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"],
+                [part.column(0), pa.array(sizes, pa.int64()), *(pa.array(marks[:, k]) for k in range(marks.shape[1])), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes)))],
+                ["doc_id", "n", "s1", "s2", "p1", "p2", *BITS, "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id long, n long, s1 long, s2 long, p1 long, p2 long, {', '.join(f'{b} long' for b in BITS)}, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool, n: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)`` those whose whole texts are similar enough, as ``(u, v)``."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").distinct()
+    texts = some_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), "doc_id")
+    texts = texts.distinct() if repeated else texts
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -113,41 +119,54 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     sets = checkpointed(_features(docs, n, percent))
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"))
-    firsts = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
-    classes = checkpointed(classes.join(firsts, ["n", "p1", "p2"]).select("n", "s1", "s2", "rep", "gid", F.when(F.col("rep") == F.col("gid"), F.col("prefix")).alias("prefix")))
+    repeated = not sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("prefix").alias("prefix"), *(F.first(b).alias(b) for b in BITS))
+    firsts = classes.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
+    classes = checkpointed(classes.join(firsts, ["n", "p1", "p2"]).select("n", "s1", "s2", "rep", "gid", F.when(F.col("rep") == F.col("gid"), F.col("prefix")).alias("prefix"), *(F.when(F.col("members") == 1, F.col(b)).alias(b) for b in BITS)))
 
     # Prefix n-grams of at least two groups.
     grams = classes.where("rep = gid").select("gid", "n", F.posexplode("prefix").alias("at", "h"))
-    wanted = grams.groupBy("h").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("h")
+    gram = Window.partitionBy("h")  # one exchange; the rows of a gram are buffered on disk where memory is short
+    grams = grams.select("*", F.min("gid").over(gram).alias("lo"), F.max("gid").over(gram).alias("hi")).where("lo < hi").select("gid", "n", "at", "h")
     band = F.floor(F.log("n") / math.log(100 / percent) if percent < 100 else F.col("n"))
-    shared = checkpointed(grams.join(wanted, "h").withColumn("band", band))
+    shared = checkpointed(grams.withColumn("band", band))
 
+    # Anchors that share half of a group's prefix are looked at first; this only unites copies early, step 3 misses nothing.
     anchors = shared.groupBy("h", "band").agg(F.min("gid").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "band", "a")
-    near = shared.join(anchors, ["h", "band"]).where("gid <> a").select("a", F.col("gid").alias("b"))
+    near = shared.join(anchors, ["h", "band"]).where("gid <> a").groupBy("a", F.col("gid").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    near = near.where(f"2 * c * 100 >= n * {100 - percent}").select("a", "b")
     inside = classes.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    first_links = _verified(checkpointed(near.union(inside).distinct()), docs, n, percent)
+    first_links = _verified(checkpointed(near.union(inside).distinct()), docs, repeated, n, percent)
+    if repeated:  # an id with several texts ties their classes together
+        first_links = first_links.union(sets.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select("doc_id", "rep"))
     united = connected_components(first_links)
 
     named = classes.select("rep", "gid", "n").join(united, F.col("rep") == F.col("id"), "left").select("rep", "gid", F.coalesce("component_id", "rep").alias("part"))
     named = checkpointed(named)
     apart = shared.join(named.select("gid", "part").distinct(), "gid")
     open_grams = apart.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("h")
-    apart = checkpointed(apart.join(open_grams, "h").select("h", "gid", "n", "at", "part", "band"))
-    small = apart.select("h", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "at", "part")), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    large = apart.select("h", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "at", "part")), "band")
+    bitmaps = classes.where("rep = gid").select("gid", *BITS)  # null for a group of several sets
+    apart = checkpointed(apart.join(open_grams, "h").join(bitmaps, "gid").select("h", "gid", "n", "at", "part", "band", *BITS))
+    carried = ("gid", "n", "at", "part", *BITS)
+    small = apart.select("h", *(F.col(c).alias(f"{c}_a") for c in carried), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    large = apart.select("h", *(F.col(c).alias(f"{c}_b") for c in carried), "band")
     enough = (100 + percent, percent)  # overlap * (100 + percent) >= percent * (n_a + n_b)
     bound = lambda shared_so_far: f"({shared_so_far} + least(n_a - at_a, n_b - at_b)) * {enough[0]} >= {enough[1]} * (n_a + n_b)"
+    differing = " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in BITS)
+    alike = f"coalesce(({differing}) * {enough[0]} <= {100 - percent} * (n_a + n_b), true)"
     first_in = "(n_a < n_b OR n_a = n_b AND gid_a < gid_b)"
-    met = small.join(large, ["h", "band"]).where(f"part_a <> part_b AND {first_in} AND 100 * n_a >= {percent} * n_b AND {bound('least(at_a, at_b)')}")
+    met = small.join(large, ["h", "band"]).where(f"part_a <> part_b AND {first_in} AND 100 * n_a >= {percent} * n_b AND {bound('least(at_a, at_b)')} AND {alike}")
     met = met.groupBy("gid_a", "part_a", "n_a", "gid_b", "part_b", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     met = met.where(bound("(c - 1)"))
+    # Whichever prefix ends first, all common n-grams up to its end are counted in c: no more than what follows it can be added.
+    after = lambda side: f"ceil({percent} * n_{side} / 100.0) - 1"
+    met = met.where(f"(c + greatest({after('a')}, {after('b')})) * {enough[0]} >= {enough[1]} * (n_a + n_b)")
     ends = lambda end: named.select(F.col("rep").alias(end), F.col("gid").alias(f"gid_{end}"), F.col("part").alias(f"part_{end}"))
     pairs = met.select("gid_a", "part_a", "gid_b", "part_b").join(ends("a"), ["gid_a", "part_a"]).join(ends("b"), ["gid_b", "part_b"]).select("a", "b")
     split = named.groupBy("gid").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("gid")
     torn = named.join(split, "gid")
     within = torn.select("gid", F.col("rep").alias("a"), F.col("part").alias("x")).join(torn.select("gid", F.col("rep").alias("b"), F.col("part").alias("y")), "gid").where("x < y").select("a", "b")
-    last_links = checkpointed(_verified(checkpointed(pairs.union(within).distinct()), docs, n, percent))
+    last_links = checkpointed(_verified(checkpointed(pairs.union(within).distinct()), docs, repeated, n, percent))
     if not last_links.isEmpty():
         united = connected_components(united.select(F.col("id").alias("u"), F.col("component_id").alias("v")).union(last_links))
 
