@@ -1,8 +1,8 @@
 """Line dedup by distinct-site spread: lines that many sites share are boilerplate, and go from all but one document.
 
 The spread of a line is the number of distinct sites whose documents hold it. Copies of one document are not evidence of
-boilerplate, however many sites carry them: documents with the same signature (the least hash among their lines) vote for a
-line with one site, the least. HyperLogLog sketches of the voting sites merge by aggregation; lines whose estimate lies near
+boilerplate, however many sites carry them: documents with the same signature (the least hash among their other lines) vote for
+a line with one site, the least. HyperLogLog sketches of the voting sites merge by aggregation; lines whose estimate lies near
 the threshold get exact distinct counts. A boilerplate line stays in the document with the smallest id that holds it, so no
 content leaves the corpus. DataFrame operations only.
 """
@@ -32,8 +32,10 @@ def _keys(text: Column) -> Column:
 def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, site_column: str = "source") -> DataFrame:
     """``line, first_doc`` of every boilerplate line: its hash and the smallest id that holds it. A null site does not count."""
     keyed = docs.select("doc_id", F.col(site_column).cast("string").alias("site"), _keys(F.col("text")).alias("keys"))
-    keyed = keyed.select("doc_id", "site", "keys", F.array_min("keys").alias("signature"))
-    lines = keyed.select("doc_id", "site", "signature", F.explode("keys").alias("line")).where("line IS NOT NULL")
+    least = F.array_sort(F.array_distinct(F.array_compact("keys")))
+    keyed = keyed.select("doc_id", "site", "keys", F.get(least, 0).alias("least"), F.get(least, 1).alias("next"))
+    lines = keyed.select("doc_id", "site", "least", "next", F.explode("keys").alias("line")).where("line IS NOT NULL")
+    lines = lines.select("doc_id", "site", "line", F.when(F.col("line") == F.col("least"), F.col("next")).otherwise(F.col("least")).alias("signature"))
     votes = lines.groupBy("line", "signature").agg(F.min("site").alias("site"), F.min("doc_id").alias("first_doc"))
     spread = votes.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("first_doc").alias("first_doc"))
     spread = spread.where(F.col("sites") >= (1 - near) * min_sites)
@@ -72,8 +74,12 @@ WITH lines AS (
     SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), keyed AS (
     SELECT *, md5(trim(raw, ' ')) AS line FROM lines WHERE trim(raw, ' ') <> ''
+), least AS (
+    SELECT doc_id, min(line) AS least FROM keyed GROUP BY doc_id
+), after AS (
+    SELECT doc_id, min(line) AS next FROM keyed JOIN least USING (doc_id) WHERE line <> least GROUP BY doc_id
 ), signed AS (
-    SELECT *, min(line) OVER (PARTITION BY doc_id) AS signature FROM keyed
+    SELECT k.*, CASE WHEN line = least THEN next ELSE least END AS signature FROM keyed k JOIN least USING (doc_id) LEFT JOIN after USING (doc_id)
 ), votes AS (
     SELECT line, signature, min(source) AS site, min(doc_id) AS first_doc FROM signed GROUP BY line, signature
 ), found AS (
