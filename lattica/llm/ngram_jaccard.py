@@ -148,7 +148,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     bitmaps = classes.where("rep = gid").select("gid", *BITS)  # null for a group of several sets
     apart = checkpointed(apart.join(open_grams, "h").join(bitmaps, "gid").select("h", "gid", "n", "at", "part", "band", *BITS))
     carried = ("gid", "n", "at", "part", *BITS)
-    small = apart.select("h", *(F.col(c).alias(f"{c}_a") for c in carried), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    # The smaller set of a pair shares an n-gram within a shorter prefix: at least 2 percent / (100 + percent) of it is common.
+    least_common = lambda n_: f"ceil({2 * percent} * {n_} / {100 + percent}.0)"
+    small = apart.where(f"at <= n - {least_common('n')}").select("h", *(F.col(c).alias(f"{c}_a") for c in carried), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     large = apart.select("h", *(F.col(c).alias(f"{c}_b") for c in carried), "band")
     enough = (100 + percent, percent)  # overlap * (100 + percent) >= percent * (n_a + n_b)
     bound = lambda shared_so_far: f"({shared_so_far} + least(n_a - at_a, n_b - at_b)) * {enough[0]} >= {enough[1]} * (n_a + n_b)"
@@ -159,8 +161,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     met = met.groupBy("gid_a", "part_a", "n_a", "gid_b", "part_b", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     met = met.where(bound("(c - 1)"))
     # Whichever prefix ends first, all common n-grams up to its end are counted in c: no more than what follows it can be added.
-    after = lambda side: f"ceil({percent} * n_{side} / 100.0) - 1"
-    met = met.where(f"(c + greatest({after('a')}, {after('b')})) * {enough[0]} >= {enough[1]} * (n_a + n_b)")
+    met = met.where(f"(c + greatest({least_common('n_a')} - 1, ceil({percent} * n_b / 100.0) - 1)) * {enough[0]} >= {enough[1]} * (n_a + n_b)")
     ends = lambda end: named.select(F.col("rep").alias(end), F.col("gid").alias(f"gid_{end}"), F.col("part").alias(f"part_{end}"))
     pairs = met.select("gid_a", "part_a", "gid_b", "part_b").join(ends("a"), ["gid_a", "part_a"]).join(ends("b"), ["gid_b", "part_b"]).select("a", "b")
     split = named.groupBy("gid").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("gid")
