@@ -1,8 +1,8 @@
 """Line dedup by distinct-site spread: lines that many sites share are boilerplate, and go from all but one document.
 
-The spread of a line is the number of distinct sites whose documents hold it. Copies of one document are not evidence of
-boilerplate, however many sites carry them: documents with the same signature (the least hash among their other lines) vote for
-a line with one site, the least. HyperLogLog sketches of the voting sites merge by aggregation; lines whose estimate lies near
+The spread of a line is the number of distinct sites whose documents hold it, over all documents. Copies of one document are
+not evidence of boilerplate, however many sites carry them: a line all of whose documents have the same signature (a hash of all
+their distinct lines) is none. HyperLogLog sketches of the sites merge by aggregation; lines whose estimate lies near
 the threshold get exact distinct counts. A boilerplate line stays in the document with the smallest id that holds it, so no
 content leaves the corpus. DataFrame operations only.
 """
@@ -32,16 +32,14 @@ def _keys(text: Column) -> Column:
 def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, site_column: str = "source") -> DataFrame:
     """``line, first_doc`` of every boilerplate line: its hash and the smallest id that holds it. A null site does not count."""
     keyed = docs.select("doc_id", F.col(site_column).cast("string").alias("site"), _keys(F.col("text")).alias("keys"))
-    least = F.array_sort(F.array_distinct(F.array_compact("keys")))
-    keyed = keyed.select("doc_id", "site", "keys", F.get(least, 0).alias("least"), F.get(least, 1).alias("next"))
-    lines = keyed.select("doc_id", "site", "least", "next", F.explode("keys").alias("line")).where("line IS NOT NULL")
-    lines = lines.select("doc_id", "site", "line", F.when(F.col("line") == F.col("least"), F.col("next")).otherwise(F.col("least")).alias("signature"))
-    votes = lines.groupBy("line", "signature").agg(F.min("site").alias("site"), F.min("doc_id").alias("first_doc"))
-    spread = votes.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("first_doc").alias("first_doc"))
-    spread = spread.where(F.col("sites") >= (1 - near) * min_sites)
+    keyed = keyed.select("doc_id", "site", "keys", F.xxhash64(F.array_sort(F.array_distinct(F.array_compact("keys")))).alias("signature"))
+    lines = keyed.select("doc_id", "site", "signature", F.explode("keys").alias("line")).where("line IS NOT NULL")
+    held = lines.groupBy("line", "site").agg(F.min("doc_id").alias("first_doc"), F.min("signature").alias("low"), F.max("signature").alias("high"))
+    spread = held.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("first_doc").alias("first_doc"), F.min("low").alias("low"), F.max("high").alias("high"))
+    spread = spread.where((F.col("sites") >= (1 - near) * min_sites) & (F.col("low") < F.col("high")))
     sure = spread.where(F.col("sites") > (1 + near) * min_sites).select("line", "first_doc")
     unsure = spread.where(F.col("sites") <= (1 + near) * min_sites).select("line", "first_doc")
-    exact = votes.select("line", "site").join(unsure.select("line"), "line", "left_semi").distinct().groupBy("line").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = held.select("line", "site").join(unsure.select("line"), "line", "left_semi").groupBy("line").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.union(unsure.join(exact.select("line"), "line", "left_semi"))
 
 

@@ -298,6 +298,31 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.line_dedup(odd).count() == odd.count()
 
 
+def test_line_dedup_counts_every_site(spark):
+    footer = "\nfooter one\nfooter two\nfooter three"
+    rows = [(k, f"own line {k}{footer}", f"s{k}") for k in range(12)]
+    rows += [(100 + k, f"text {k // 12}\nbyline", f"t{k % 12}") for k in range(36)]  # three documents, each on the same sites
+    rows += [(200 + k, "copy one\ncopy two", f"u{k}") for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for near in (0.0, 0.9):
+        text = {x.doc_id: x.text for x in line_dedup.line_dedup(frame, near=near).collect()}
+        assert text[0] == rows[0][1] and [text[k] for k in range(1, 12)] == [f"own line {k}" for k in range(1, 12)]
+        assert text[100] == "text 0\nbyline" and not any("byline" in text[k] for k in range(101, 136))
+        assert {text[k] for k in range(200, 212)} == {"copy one\ncopy two"}
+
+
+def test_line_spread_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.01"
+    expected = duckdb.sql(f"""
+        WITH keyed AS (SELECT doc_id, source, md5(trim(raw, ' ')) AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM '{sf}/documents.parquet') WHERE trim(raw, ' ') <> ''),
+        sets AS (SELECT doc_id, string_agg(line, ',' ORDER BY line) AS lines FROM (SELECT DISTINCT doc_id, line FROM keyed) GROUP BY doc_id)
+        SELECT line, min(doc_id) FROM keyed JOIN sets USING (doc_id) GROUP BY line HAVING count(DISTINCT source) >= 10 AND count(DISTINCT lines) > 1
+    """).fetchall()
+    got = line_dedup.line_spread(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert len(expected) > 0 and sorted(map(tuple, got)) == sorted(expected)
+
+
 # -- classifier, pieces ---------------------------------------------------------------------------------------------------------
 
 
