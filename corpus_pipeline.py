@@ -17,7 +17,7 @@ from lattica.llm.compression_classifier import classify, fit, fit_rows
 from lattica.llm.line_dedup import line_dedup
 from lattica.llm.ngram_jaccard import jaccard_components
 from lattica.llm.packing import packed
-from lattica.llm.quality_rules import quality_rules, trusted_ids
+from lattica.llm.quality_rules import quality_rules, trusted_rows
 
 #: Near duplicates share four fifths of their five-word shingles.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -25,7 +25,7 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality_rules(docs, trusted_ids(table(spark, sf_dir, "labels"))).where("kept").select(docs.columns)
+    return quality_rules(docs, trusted_rows(table(spark, sf_dir, "labels"))).where("kept").select(docs.columns)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,14 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, slices, table, utf8, wider
+from .common import BLOCK_BYTES, checkpointed, slices, table, utf8, wider
 from .words import windows, word_hashes
 
 #: Buckets of the hashed n-grams: bounds the model that executors get, whatever the corpus holds.
 BUCKETS = 1 << 14
 ORDERS = (1, 2)
-#: The trusted multinomial is fitted on at most so many trusted rows, those with the smallest hash of their id; their ids are the only broadcast.
-TRUSTED_ROWS = 20_000
+#: Up to so many trusted ids (8 bytes each) are broadcast, more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Documents below this mean log-likelihood ratio go.
 THRESHOLD = -0.07
 #: Pseudo-counts of the trusted multinomial, spread like the raw one.
@@ -65,28 +65,35 @@ def repeated_words(hashes: np.ndarray, width: int = WINDOW) -> int:
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> list[int]:
-    """Ids of at most ``rows`` trusted documents, in the order of a hash of the id."""
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return [x[0] for x in trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+def trusted_rows(labels: DataFrame) -> DataFrame:
+    """The ``doc_id`` of every trusted document, once."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
 
 
-def fit(docs: DataFrame, trusted: list[int]) -> np.ndarray:
-    """The log-likelihood ratio of each bucket. Counts cover every document; each task sends at most ``BUCKETS`` sums."""
-    context = docs.sparkSession.sparkContext
-    known = context.broadcast(np.sort(np.array(trusted, dtype=np.int64)))
+def trusted_ids(labels: DataFrame) -> list[int]:
+    """The ids of ``trusted_rows`` as a list, for small tables."""
+    return [x[0] for x in trusted_rows(labels).collect()]
+
+
+def fit(docs: DataFrame, trusted: DataFrame | list[int]) -> np.ndarray:
+    """The log-likelihood ratio of each bucket. Counts cover every document and every trusted one; each task sends at most ``BUCKETS`` sums."""
+    if not isinstance(trusted, DataFrame):
+        trusted = docs.sparkSession.createDataFrame([(x,) for x in trusted], "doc_id long")
+    known = checkpointed(trusted.select("doc_id").distinct()).select("doc_id", F.col("doc_id").alias("known"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for part in slices(batches, "text"):
-            is_good = np.isin(pc.fill_null(part.column(0), -1).to_numpy(zero_copy_only=False), known.value) & pc.is_valid(part.column(0)).to_numpy(zero_copy_only=False)
+            is_good = pc.is_valid(part.column(0)).to_numpy(zero_copy_only=False)
             found = [(trust, buckets(piece)) for text, trust in zip(utf8(part.column(1)), is_good, strict=True) for piece in stretches(text)]
             raw += np.bincount(np.concatenate([x for _, x in found]), minlength=BUCKETS)
             good += np.bincount(np.concatenate([x for trust, x in found if trust] or [np.empty(0, np.int64)]), minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
-    counts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "bucket long, raw long, good long")
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id", "left")
+    counts = marked.select("known", "text").mapInArrow(count, "bucket long, raw long, good long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
     raw, good = np.ones(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, g in rows:
@@ -111,7 +118,7 @@ def stretches(text: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
 
 
-def quality_rules(docs: DataFrame, trusted: list[int], threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame | list[int], threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text`` and any others) with what the rules found beside it.
 
     A null or empty text has no words, a score of 0 and fails the base rules (fewer than 10 words). Repeated rows each keep
@@ -142,4 +149,4 @@ def quality_rules(docs: DataFrame, trusted: list[int], threshold: float = THRESH
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules(docs, trusted_ids(table(spark, sf_dir, "labels"))).drop("text")
+    return quality_rules(docs, trusted_rows(table(spark, sf_dir, "labels"))).drop("text")

@@ -85,6 +85,18 @@ def test_quality_rules(spark, docs, odd, none):
     assert out.schema["kept"].dataType.simpleString() == "boolean" and "score" in out.columns
 
 
+def test_every_trusted_row_counts(spark, monkeypatch):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality").union(spark.createDataFrame([(None, 1), (30_000, 0)], "doc_id long, quality int"))
+    assert len(quality_rules.trusted_ids(labels)) == 25_000
+    docs = spark.range(25_001).selectExpr("id AS doc_id", "concat('w', id % 50, ' v') AS text")
+    weights = quality_rules.fit(docs, quality_rules.trusted_rows(labels))
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)  # by shuffle
+    assert (weights == quality_rules.fit(docs, quality_rules.trusted_rows(labels))).all()
+    at = quality_rules.buckets(b"v")[0]
+    raw, good, total = 25_002, 25_000, 3 * 25_001 + quality_rules.BUCKETS
+    assert weights[at] == pytest.approx(math.log((good + quality_rules.PRIOR_COUNT * raw / total) / (3 * good + quality_rules.PRIOR_COUNT) / (raw / total)), abs=1e-9)
+
+
 # -- chat ---------------------------------------------------------------------------------------------------------------------
 
 
