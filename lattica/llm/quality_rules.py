@@ -33,9 +33,20 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
 
-def buckets(text: bytes) -> np.ndarray:
-    hashes = word_hashes(text.split())
-    return np.concatenate([windows(hashes, n) % np.uint64(BUCKETS) for n in ORDERS]).astype(np.int64)
+def buckets(text: bytes, before: list[bytes] | None = None) -> np.ndarray:
+    """Buckets of the n-grams that end in ``text``, which follows the words ``before``."""
+    before = before or []
+    hashes = word_hashes([*before, *text.split()])
+    return np.concatenate([windows(hashes[max(0, len(before) - n + 1) :], n) % np.uint64(BUCKETS) for n in ORDERS]).astype(np.int64)
+
+
+def text_buckets(text: bytes) -> Iterator[np.ndarray]:
+    """Buckets of a whole text by stretches; an n-gram across a cut counts to the later one."""
+    before: list[bytes] = []
+    most = max(ORDERS) - 1
+    for piece in stretches(text):
+        yield buckets(piece, before)
+        before = [*before, *piece.rsplit(None, most)[-most:]][-most:]
 
 
 def base_features(text: bytes) -> tuple[int, int, int, int, int]:
@@ -86,7 +97,7 @@ def fit(docs: DataFrame, trusted: DataFrame | list[int]) -> np.ndarray:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for part in slices(batches, "text"):
             is_good = pc.is_valid(part.column(0)).to_numpy(zero_copy_only=False)
-            found = [(trust, buckets(piece)) for text, trust in zip(utf8(part.column(1)), is_good, strict=True) for piece in stretches(text)]
+            found = [(trust, at) for text, trust in zip(utf8(part.column(1)), is_good, strict=True) for at in text_buckets(text)]
             raw += np.bincount(np.concatenate([x for _, x in found]), minlength=BUCKETS)
             good += np.bincount(np.concatenate([x for trust, x in found if trust] or [np.empty(0, np.int64)]), minlength=BUCKETS)
         at = np.flatnonzero(raw)
@@ -135,8 +146,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | list[int], threshold: fl
             for text in utf8(part.column(part.schema.get_field_index("text"))):
                 found = base_features(text)
                 total = grams = 0
-                for piece in stretches(text):
-                    at = buckets(piece)
+                for at in text_buckets(text):
                     total, grams = total + math.fsum(weight[at]), grams + len(at)
                 llr = round(total / grams, 9) if grams else 0.0
                 failed = found[0] < MIN_WORDS or 100 * found[4] > MAX_REPEAT_PERCENT * found[0]

@@ -97,6 +97,18 @@ def test_every_trusted_row_counts(spark, monkeypatch):
     assert weights[at] == pytest.approx(math.log((good + quality_rules.PRIOR_COUNT * raw / total) / (3 * good + quality_rules.PRIOR_COUNT) / (raw / total)), abs=1e-9)
 
 
+def test_no_words_are_lost_at_a_cut(spark):
+    text = "alpha beta gamma delta epsilon " * 300_000  # over 8 MiB
+    assert len(list(quality_rules.stretches(text.encode()))) > 1
+    frame = spark.createDataFrame([(1, text), (2, "alpha gamma beta " * 50_000)], "doc_id long, text string")
+    long, short = (np.bincount(quality_rules.buckets(x.text.encode()), minlength=quality_rules.BUCKETS) for x in frame.orderBy("doc_id").collect())
+    share = (long + short + 1) / (long + short + 1).sum()
+    weights = np.log((long + quality_rules.PRIOR_COUNT * share) / (long.sum() + quality_rules.PRIOR_COUNT) / share)
+    assert np.abs(quality_rules.fit(frame, [1]) - weights).max() < 1e-9
+    llr = {x.doc_id: x.llr for x in quality_rules.quality_rules(frame, [1]).select("doc_id", "llr").collect()}
+    assert llr[1] == pytest.approx(weights @ long / long.sum(), abs=2e-9) and llr[2] == pytest.approx(weights @ short / short.sum(), abs=2e-9)
+
+
 # -- chat ---------------------------------------------------------------------------------------------------------------------
 
 
