@@ -13,17 +13,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, utf8, wider
 
 CHUNK_BYTES, LEVEL, DICTIONARY_BYTES = 1024, 3, 110 << 10
-#: Fitted on at most so many labelled rows of each class (those with the smallest hash of their id), none of them longer than so many bytes; every second row goes into a dictionary, the others calibrate.
+#: Fitted on at most so many labelled rows of each class (those with the smallest hash of their id), a longer text by about so many bytes in pieces spread over all of it; every second row goes into a dictionary, the others calibrate.
 FIT_ROWS, FIT_BYTES = 3000, 32 << 10
-#: Chunks of one text that go into a dictionary.
+#: Chunks of one text that go into a dictionary, spread over it.
 DICTIONARY_CHUNKS = 8
 KEEP_AT, HELD_OUT = 0.7, 2
+#: The place of the log length among the features.
+LENGTH = 3
 
 
 class Model(NamedTuple):
@@ -33,6 +35,7 @@ class Model(NamedTuple):
     spread: np.ndarray
     weights: np.ndarray
     prior: float
+    span: tuple[float, float]
 
 
 class Scorer:
@@ -51,7 +54,9 @@ class Scorer:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.model.weights):
             return np.full(len(texts), self.model.prior)
-        return _probability(_expand(np.array([self.features(x) for x in texts]), self.model.mean, self.model.spread), self.model.weights)
+        raw = np.array([self.features(x) for x in texts])
+        raw[:, LENGTH] = np.clip(raw[:, LENGTH], *self.model.span)  # no verdict by length beyond the fitted ones
+        return _probability(_expand(raw, self.model.mean, self.model.spread), self.model.weights)
 
 
 def _expand(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -67,12 +72,12 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     """Rows at even places of each class make its dictionary, those at odd places calibrate."""
     by = {v: [t for t, y in zip(texts, labels, strict=True) if y == v] for v in (0, 1)}
     prior = (len(by[1]) + 1) / (len(texts) + 2)
-    nothing = Model(b"", b"", np.empty(0), np.empty(0), np.empty(0), prior)
+    nothing = Model(b"", b"", np.empty(0), np.empty(0), np.empty(0), prior, (0.0, 0.0))
     if min(map(len, by.values())) < 8:
         return nothing
     content = {}
     for v, rows in by.items():
-        chunks = [t[i : i + CHUNK_BYTES] for t in rows[::2] for i in range(0, len(t), CHUNK_BYTES)[:DICTIONARY_CHUNKS]]
+        chunks = [t[i : i + CHUNK_BYTES] for t in rows[::2] for i in spread_starts(len(t))]
         try:
             content[v] = zstandard.train_dictionary(DICTIONARY_BYTES, chunks).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
@@ -89,7 +94,22 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
         weights = weights + step
         if np.abs(step).max() < 1e-9:
             break
-    return model._replace(mean=mean, spread=spread, weights=weights)
+    return model._replace(mean=mean, spread=spread, weights=weights, span=(float(raw[:, LENGTH].min()), float(raw[:, LENGTH].max())))
+
+
+def spread_starts(size: int) -> list[int]:
+    """Starts of at most ``DICTIONARY_CHUNKS`` chunks of a text of ``size`` bytes, from its first to its last."""
+    starts = range(0, size, CHUNK_BYTES)
+    most = DICTIONARY_CHUNKS - 1
+    return list(starts) if len(starts) <= most + 1 else [starts[k * (len(starts) - 1) // most] for k in range(most + 1)]
+
+
+def spread_text(text: Column) -> Column:
+    """A text of at most ``FIT_BYTES`` bytes as it is; of a longer one as many pieces as make that, evenly spread over it."""
+    pieces, length = FIT_BYTES // CHUNK_BYTES, F.char_length(text).cast("long")
+    size = F.greatest(F.lit(1), F.floor(length * CHUNK_BYTES / F.octet_length(text))).cast("int")
+    piece = lambda k: F.substring(text, (F.floor(k * (length - size) / (pieces - 1)) + 1).cast("int"), size)
+    return F.when(F.octet_length(text) <= FIT_BYTES, text).otherwise(F.concat(*[piece(F.lit(k)) for k in range(pieces)]))
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[bytes], list[int]]:
@@ -99,8 +119,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[
     for v in (0, 1):
         part = known.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = part if picked is None else picked.union(part)
-    short = docs.select("doc_id", "text").where((F.octet_length("text") <= FIT_BYTES) & F.col("text").isNotNull())
-    found = short.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").collect()  # at most 2 * rows ids
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", spread_text(F.col("text")).alias("text"), "quality").collect()  # at most 2 * rows ids
     found.sort(key=lambda r: (r.quality, r.doc_id, r.text))
     return [r.text.encode() for r in found], [r.quality for r in found]
 

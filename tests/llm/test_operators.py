@@ -367,6 +367,33 @@ def test_classifier(spark, odd, none):
     assert compression_classifier.classify(odd, compression_classifier.fit([], [])).where("score <> 0.5").count() == 0
 
 
+def test_classifier_of_long_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    texts, y = compression_classifier.fit_rows(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for draw in range(3):
+        order = np.random.default_rng(draw).permutation(len(texts))
+        rows = [(texts[k], y[k]) for k in order]
+        scorer = compression_classifier.Scorer(compression_classifier.fit([t for t, _ in rows], [v for _, v in rows]))
+        scores = scorer.score([t for t, _ in rows])
+        for v in (0, 1):  # texts whose verdict is right, put together
+            right = [t for (t, label), p in zip(rows, scores, strict=True) if label == v and len(t) > 500 and (p > 0.95 if v else p < 0.2)]
+            long = (b"\n".join(right) * (1 + 2_000_000 // sum(map(len, right))))[:2_000_000]
+            assert (scorer.score([long[:500_000], long]) >= 0.7).tolist() == [v == 1] * 2
+
+
+def test_classifier_fits_on_whole_texts(spark):
+    long = "".join(f"{k % 10}" * 1000 for k in range(200)) + "\u00e9" * 20_000
+    docs = spark.createDataFrame([(k, long if k % 2 else "short") for k in range(1, 5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, quality int")
+    held = {x.doc_id for x in docs.where(compression_classifier.held_out("doc_id")).collect()}
+    texts, y = compression_classifier.fit_rows(docs, labels)
+    assert len(texts) == 4 - len(held) and max(y) == 1
+    for t, v in zip(texts, y, strict=True):
+        assert t == b"short" if v == 0 else 0.9 < len(t) / compression_classifier.FIT_BYTES < 1.3 and set("0123456789\u00e9") <= set(t.decode())
+    starts = compression_classifier.spread_starts(100_000)
+    assert len(starts) == compression_classifier.DICTIONARY_CHUNKS and starts[0] == 0 and starts[-1] + compression_classifier.CHUNK_BYTES >= 100_000
+
+
 def test_pieces(spark, docs, odd, none):
     both = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
     rows = piece_sampling.sample_pieces(both).collect()
