@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,38 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+class Recent:
+    """What a worker remembers of keys, in at most about ``most_bytes`` bytes.
+
+    There are two generations: a key that is used again moves to the younger one; when that holds half of the bytes it becomes
+    the older one, which goes. Long keys are not remembered.
+    """
+
+    LONGEST, EACH = 64, 200
+
+    def __init__(self, most_bytes: int = 64 << 20):
+        self.most_bytes, self.held = most_bytes, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def look_up(self, keys: list, find: Callable[[list], list]) -> list:
+        """The value of each key; ``find`` gives those of new keys, each named once."""
+        got = list(map(self.young.get, keys))
+        if None in got:
+            holes = [k for k, v in enumerate(got) if v is None]
+            found = {keys[k]: self.old.get(keys[k]) for k in holes}
+            if new := [x for x, v in found.items() if v is None]:
+                found.update(zip(new, find(new), strict=True))
+            for k in holes:
+                got[k] = found[keys[k]]
+            kept = found if max(map(len, found)) <= self.LONGEST else {x: v for x, v in found.items() if len(x) <= self.LONGEST}
+            self.young.update(kept)
+            self.held += self.EACH * len(kept) + sum(map(len, kept)) + (sum(map(len, kept.values())) if isinstance(next(iter(kept.values()), None), bytes) else 0)
+            if self.held > self.most_bytes // 2:
+                self.young, self.old, self.held = {}, self.young, 0
+        return got
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64 on unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, strings, table
+from .common import slices, table
 from .token_counts import encoder, tokenizer_path
 
 SEQUENCE_TOKENS = 4096
@@ -87,35 +87,40 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path(tokenizer)).ids
-        end = np.uint32(end_id).astype("<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         keys, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal keys, ids, held, base
-            pieces = pack([len(x) // 4 for x in ids], sequence_tokens)
-            total = np.bincount([p[3] for p in pieces], [p[2] for p in pieces])
-            spent = np.bincount([p[3] for p in pieces], [LINEAR * p[2] + QUADRATIC * p[2] ** 2 for p in pieces])
-            doc, start, length, sequence, offset = zip(*pieces, strict=True)
-            cut = [ids[k][4 * s : 4 * (s + n)] for k, s, n in zip(doc, start, length, strict=True)]
+            pieces = np.array(pack(list(map(len, ids)), sequence_tokens), np.int64)
+            doc, start, length, sequence, offset = pieces.T
+            total = np.bincount(sequence, length)
+            spent = np.bincount(sequence, LINEAR * length + QUADRATIC * length**2)
+            cut = [ids[k][s:e] for k, s, e in zip(doc.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
+            sizes = np.array(list(map(len, ids)), np.int64)
             columns = [
-                pa.array([keys[k] for k in doc], arrow_id), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(map(zlib.crc32, cut), pa.int64()),
-                pa.array([len(ids[k]) // 4 for k in doc], pa.int64()), pa.array([base + s for s in sequence], pa.int64()), pa.array(offset, pa.int64()),
-                pa.array([int(total[s]) for s in sequence], pa.int64()), pa.array([spent[s] for s in sequence], pa.float64()),
+                pa.array(keys, arrow_id).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, cut), pa.int64()), pa.array(sizes[doc]),
+                pa.array(base + sequence), pa.array(offset), pa.array(total[sequence].astype(np.int64)), pa.array(spent[sequence]),
             ]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(cut), "<i4"))))
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cut).view("<i4"))))
             base += len(total)
             keys, ids, held = [], [], 0
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
         for part in slices(batches, "text"):
             arrow_id = part.column(0).type
-            for key, x in zip(part.column(0).to_pylist(), encode(strings(part.column("text"))), strict=True):
+            flat, sizes = encode(part.column("text"))
+            ends = np.cumsum(sizes) + np.arange(1, len(sizes) + 1)
+            marked = np.full(int(ends[-1]), end_id, "<u4")
+            inside = np.ones(len(marked), bool)
+            inside[ends - 1] = False
+            marked[inside] = flat
+            for key, a, b in zip(part.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
                 keys.append(key)
-                ids.append(x + end)
-                held += len(ids[-1]) // 4
+                ids.append(marked[a:b])
+                held += b - a
                 if held >= block_tokens:
                     yield flush()
         if keys:

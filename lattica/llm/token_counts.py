@@ -1,8 +1,9 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-White space ends every token of the word vocabulary, so a text may be cut at any ASCII space or line feed without changing
-its tokens. Each byte-balanced block of texts is cut there, its distinct segments go to the library in one batch, and what
-the library said is kept for later blocks of the same worker in a table of bounded size.
+A vocabulary whose tokens end at white space and that ignores case lets a text be cut at any ASCII space or line feed without
+changing its tokens. Each byte-balanced block of texts is cut there by Arrow, its distinct words go to the library in one batch,
+and what the library said is kept for later blocks of the same worker in a table of bounded bytes. Every other vocabulary gets
+whole texts, in byte-balanced batches.
 """
 
 from __future__ import annotations
@@ -19,77 +20,150 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, strings, table
+from .common import Recent, slices, strings, table
 
-#: Segments whose tokens a worker remembers.
-REMEMBERED = 300_000
 #: Letters that stand for themselves in every normal form, then marks that open no contraction and no special string.
-PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{|}~]*)")
+PLAIN = r"^(?P<stem>[a-zA-ZÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=?@\[-`{|}~]*)$"
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 #: Longer texts are encoded in stretches of about so many characters that end at a safe boundary.
 STRETCH_CHARS = 1 << 20
+#: So many plain words are encoded as one text.
+JOINED = 64
 
-_ENCODERS: dict[str, SegmentEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], SegmentEncoder] = {}
 
 
 class SegmentEncoder:
-    """Encodes the distinct segments of a block in one batch; ``known`` maps a segment to its ids as little-endian bytes."""
+    """Tokens of blocks of texts: their counts, or their ids too."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lengths_only: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.by_word = False
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            self.encode = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            self.by_segment = True
+            self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.by_word = ends_at_space(tokenizer)
         else:
             import sentencepiece
 
             processor = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: processor.encode(texts, num_threads=1)
-            self.by_segment = False  # its pieces carry the white space before a word, so texts stay whole
-        self.known: dict[str, bytes] = {"": b""}
-        self.lengths: dict[str, int] = {"": 0}
-        self.part_known: dict[str, bytes] = {}
-        self.part_lengths: dict[str, int] = {}
-
-    def look_up(self, cut: list[list[str]], known: dict, parts: dict, value) -> list[list]:
-        """What the library says of each word of each text; new words are remembered while there is room.
+        if self.by_word:
+            vocabulary, suffix = tokenizer.get_vocab(), tokenizer.model.end_of_word_suffix
+            self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.is_last[[k for x, k in vocabulary.items() if x.endswith(suffix)]] = True
+        self.lengths_only, self.known = lengths_only, Recent()
+
+    def parts(self, words: list[str]) -> list:
+        """The ids of each word as little-endian bytes, or only how many they are."""
+        letters = [x for x in words if LETTERS.fullmatch(x)]
+        flat = flat_ids(self.encode([" ".join(letters[k : k + JOINED]) for k in range(0, len(letters), JOINED)]))
+        ends = np.flatnonzero(self.is_last[flat]) + 1
+        if len(ends) != len(letters):  # not one word end in each: then one by one
+            letters, flat, ends = [], flat[:0], ends[:0]
+        found = dict(zip(letters, self._values(flat, ends), strict=True))
+        if rest := [x for x in words if x not in found]:
+            said = self.encode(rest)
+            found.update(zip(rest, self._values(flat_ids(said), np.cumsum(list(map(len, said)))), strict=True))
+        return [found[x] for x in words]
+
+    def _values(self, flat: np.ndarray, ends: np.ndarray) -> list:
+        if self.lengths_only:
+            return np.diff(ends, prepend=0).tolist()
+        data, ends = flat.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _block(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+        """Ends of rows in the block's words, each word's number, the numbers of each distinct word's two parts, what is known of the parts.
 
         A word of plain letters with marks behind it has the tokens of the letters, whatever their case, and those of the
-        marks, so the library is asked for such parts, which repeat far more often than whole words do.
+        marks; such parts repeat far more often than whole words do.
         """
-        got = [list(map(known.get, words)) for words in cut]
-        if holes := [k for k, values in enumerate(got) if None in values]:
-            missing = {w for k in holes for w, v in zip(cut[k], got[k], strict=True) if v is None}
-            if len(parts) > REMEMBERED:
-                parts.clear()
-            split = {w: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, "") for w in missing}
-            if new := list(set(chain.from_iterable(split.values())).difference(parts)):
-                parts.update(zip(new, map(value, self.encode(new)), strict=True))
-            found = {w: parts[x] + parts[y] for w, (x, y) in split.items()}
-            if len(known) < REMEMBERED:
-                known.update(found)
-            for k in holes:
-                got[k] = [found[w] if v is None else v for w, v in zip(cut[k], got[k], strict=True)]
-        return got
-
-    def count(self, texts: list[str]) -> list[int]:
-        if not self.by_segment:
-            return list(map(len, self.encode(texts)))
-        cut = [[w for s in stretches(t) for w in segments(s)] if len(t) > STRETCH_CHARS else segments(t) for t in texts]
-        return list(map(sum, self.look_up(cut, self.lengths, self.part_lengths, len)))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as unsigned little-endian 32-bit integers."""
-        packed = lambda x: np.asarray(getattr(x, "ids", x), dtype="<u4").tobytes()
-        if not self.by_segment:
-            return list(map(packed, self.encode(texts)))
-        return list(map(b"".join, self.look_up(list(map(segments, texts)), self.known, self.part_known, packed)))
-
-
-def segments(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+        cut = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary
+        split = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(split)
+        stem = pc.if_else(plain, pc.utf8_lower(pc.struct_field(split, "stem")), words)
+        marks = pc.if_else(plain, pc.struct_field(split, "marks"), pa.scalar("", words.type))
+        both = pa.concat_arrays([stem, marks]).dictionary_encode()
+        numbers = both.indices.to_numpy()
+        said = self.known.look_up(both.dictionary.to_numpy(zero_copy_only=False).tolist(), self.parts)
+        ends = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
+        return ends, coded.indices.to_numpy(), numbers[: len(words)], numbers[len(words) :], said
+
+    def count(self, text: pa.Array | list[str]) -> np.ndarray:
+        """Tokens of each text; null has none."""
+        if not self.by_word:
+            return np.array([len(x) for x in self.encode(strings(pa.array(text) if isinstance(text, list) else text))], np.int64)
+        found = []
+        for block in blocks(text):
+            ends, codes, stem, marks, said = self._block(block)
+            size = np.array(said, np.int64) if self.lengths_only else np.array(list(map(len, said)), np.int64) // 4
+            found.append(_per_row((size[stem] + size[marks])[codes], ends))
+        return _joined(found, len(text))
+
+    def ids(self, text: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, row after row, as unsigned 32-bit integers, and how many each row has."""
+        if not self.by_word:
+            said = self.encode(strings(pa.array(text) if isinstance(text, list) else text))
+            return flat_ids(said), np.array(list(map(len, said)), np.int64)
+        found, flat = [], [np.empty(0, "<u4")]
+        for block in blocks(text):
+            ends, codes, stem, marks, said = self._block(block)
+            size = np.array(list(map(len, said)), np.int64) // 4
+            start = np.cumsum(size) - size
+            words = gather(np.frombuffer(b"".join(said), "<u4"), np.stack([start[stem], start[marks]], 1).ravel(), np.stack([size[stem], size[marks]], 1).ravel())
+            size = size[stem] + size[marks]
+            flat.append(gather(words, (np.cumsum(size) - size)[codes], size[codes]))
+            found.append(_per_row(size[codes], ends))
+        return np.concatenate(flat), _joined(found, len(text))
+
+
+def ends_at_space(tokenizer) -> bool:
+    """Whether the vocabulary ends tokens at white space, drops it and ignores case, so that words can be encoded apart."""
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    normal, before, model = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}, spec["model"]
+    lowers = any(x["type"] == "Lowercase" for x in normal.get("normalizers", [normal]) if x)
+    first = before.get("pretokenizers", [before])[0]
+    drops = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and all(x in first["pattern"].get("Regex", "") for x in (r"[\p{L}]+", r"[^\s\p{L}"))
+    return bool(lowers and drops and model["type"] == "BPE" and model.get("end_of_word_suffix"))
+
+
+def flat_ids(said: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(said), "<u4")
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ``data`` one after another."""
+    ends = np.cumsum(size)
+    at = np.repeat((start - ends + size).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return data[at]
+
+
+def _per_row(sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    return np.diff(total[ends], prepend=0)
+
+
+def _joined(found: list[np.ndarray], rows: int) -> np.ndarray:
+    """Counts of rows from those of their blocks: one block of all rows, or several of a single one."""
+    return found[0] if len(found) == 1 and len(found[0]) == rows else np.array([sum(int(x.sum()) for x in found)] * rows, np.int64)
+
+
+def blocks(text: pa.Array | list[str]) -> Iterator[pa.Array]:
+    """The texts as they are, null as empty; of a single long one its stretches."""
+    text = pc.fill_null(pa.array(text, pa.string()) if isinstance(text, list) else text, "")
+    if len(text) == 1 and pc.binary_length(text)[0].as_py() > 4 * STRETCH_CHARS:
+        for piece in stretches(text[0].as_py()):
+            yield pa.array([piece], text.type)
+    elif len(text):
+        yield text
 
 
 def stretches(text: str, size: int = STRETCH_CHARS) -> Iterator[str]:
@@ -102,10 +176,10 @@ def stretches(text: str, size: int = STRETCH_CHARS) -> Iterator[str]:
         start = stop
 
 
-def encoder(path: str) -> SegmentEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = SegmentEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, lengths_only: bool = False) -> SegmentEncoder:
+    if (path, lengths_only) not in _ENCODERS:
+        _ENCODERS[path, lengths_only] = SegmentEncoder(path, lengths_only)
+    return _ENCODERS[path, lengths_only]
 
 
 def tokenizer_path(name: str) -> str:
@@ -120,14 +194,14 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     """
     ids = docs.schema[id_column].dataType
 
-    picked = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    picked = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = encoder(tokenizer_path(tokenizer))
+        counter = encoder(tokenizer_path(tokenizer), lengths_only=True)
         for part in slices(batches, "text"):
             text = part.column("text")
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(counter.count(strings(text)), pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(counter.count(text))], ["id", "n_bytes", "n_tokens"])
 
     out = picked.mapInArrow(run, f"id {ids.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
