@@ -1,10 +1,15 @@
 """Line dedup by distinct-site spread: lines that many sites share are boilerplate, and go from all but one document.
 
-The spread of a line is the number of distinct sites whose documents hold it, over all documents. Copies of one document are
-not evidence of boilerplate, however many sites carry them: a line all of whose documents have the same signature (a hash of all
-their distinct lines) is none. HyperLogLog sketches of the sites merge by aggregation; lines whose estimate lies near
-the threshold get exact distinct counts. A boilerplate line stays in the document with the smallest id that holds it, so no
-content leaves the corpus. DataFrame operations only.
+The spread of a line is the number of distinct sites whose documents hold it, over all documents. HyperLogLog sketches of the
+sites merge by aggregation; lines whose estimate lies near the threshold get exact distinct counts. A boilerplate line stays in
+the document with the smallest id that holds it, so no content leaves the corpus.
+
+Copies of one document of several lines are not evidence of boilerplate, however many sites carry them (that is for duplicate
+removal): a line all of whose documents have the same signature (a hash of all their distinct lines) is none, unless it is all
+that one of its documents holds.
+
+DataFrame operations only. The lines of all documents meet the boilerplate lines in a broadcast join while those are few enough
+by count; beyond that in a join on the line and a salt, so that a frequent line is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -12,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 MIN_SITES = 10
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: over three standard errors of a sketch (1.04 / 2 ** 6).
 NEAR = 0.1
+#: Up to so many boilerplate lines (about 80 bytes each) are broadcast; more are joined by shuffle, each repeated for every salt.
+BROADCAST_LINES, SALTS = 500_000, 64
 
 
 def _key(line: Column) -> Column:
@@ -32,18 +39,30 @@ def _keys(text: Column) -> Column:
 def line_spread(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, site_column: str = "source") -> DataFrame:
     """``line, first_doc`` of every boilerplate line: its hash and the smallest id that holds it. A null site does not count."""
     keyed = docs.select("doc_id", F.col(site_column).cast("string").alias("site"), _keys(F.col("text")).alias("keys"))
-    keyed = keyed.select("doc_id", "site", "keys", F.xxhash64(F.array_sort(F.array_distinct(F.array_compact("keys")))).alias("signature"))
-    lines = keyed.select("doc_id", "site", "signature", F.explode("keys").alias("line")).where("line IS NOT NULL")
-    held = lines.groupBy("line", "site").agg(F.min("doc_id").alias("first_doc"), F.min("signature").alias("low"), F.max("signature").alias("high"))
-    spread = held.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("first_doc").alias("first_doc"), F.min("low").alias("low"), F.max("high").alias("high"))
-    spread = spread.where((F.col("sites") >= (1 - near) * min_sites) & (F.col("low") < F.col("high")))
+    distinct = F.array_sort(F.array_distinct(F.array_compact("keys")))
+    keyed = keyed.select("doc_id", "site", "keys", F.xxhash64(distinct).alias("signature"), (F.size(distinct) == 1).alias("alone"))
+    lines = keyed.select("doc_id", "site", "signature", "alone", F.explode("keys").alias("line")).where("line IS NOT NULL")
+    held = lines.groupBy("line", "site").agg(F.min("doc_id").alias("first_doc"), F.min("signature").alias("low"), F.max("signature").alias("high"), F.max("alone").alias("alone"))
+    spread = held.groupBy("line").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("first_doc").alias("first_doc"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("alone").alias("alone")
+    )
+    spread = spread.where((F.col("sites") >= (1 - near) * min_sites) & (F.col("alone") | (F.col("low") < F.col("high"))))
     sure = spread.where(F.col("sites") > (1 + near) * min_sites).select("line", "first_doc")
     unsure = spread.where(F.col("sites") <= (1 + near) * min_sites).select("line", "first_doc")
     exact = held.select("line", "site").join(unsure.select("line"), "line", "left_semi").groupBy("line").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.union(unsure.join(exact.select("line"), "line", "left_semi"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, site_column: str = "source") -> DataFrame:
+def _meet(lines: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """``lines`` joined with ``found`` on the line, whatever share of all rows one line has."""
+    found = checkpointed(found)
+    if found.count() <= most:
+        return lines.join(F.broadcast(found), "line")
+    repeated = found.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return lines.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(repeated, ["line", "__salt"]).drop("__salt")
+
+
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, site_column: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Every row of ``docs`` with its text without boilerplate lines, and ``n_removed``, the lines that went.
 
     Lines are compared without the spaces around them; blank lines stay. A null text stays null, an empty one empty. Repeated
@@ -53,13 +72,13 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR,
     rest = docs.drop("n_removed")
     found = line_spread(rest, min_sites, near, site_column)
     lines = rest.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(_keys(F.col("text"))).alias("at", "line")).where("line IS NOT NULL")
-    gone = lines.join(found, "line").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.collect_set("at").alias("gone"))  # of one text: no more than its lines
+    gone = _meet(lines, found, broadcast_lines).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    gone = gone.groupBy(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).agg(F.collect_set("at").alias("__gone"))  # of one text: no more than its lines
     marked = rest.withColumn("__mark", F.xxhash64("text"))
-    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__mark") == F.col("gone_mark")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in rest.columns], F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__mark") == F.col("__gone_mark")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in rest.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +91,11 @@ WITH lines AS (
     SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), keyed AS (
     SELECT *, md5(trim(raw, ' ')) AS line FROM lines WHERE trim(raw, ' ') <> ''
-), least AS (
-    SELECT doc_id, min(line) AS least FROM keyed GROUP BY doc_id
-), after AS (
-    SELECT doc_id, min(line) AS next FROM keyed JOIN least USING (doc_id) WHERE line <> least GROUP BY doc_id
-), signed AS (
-    SELECT k.*, CASE WHEN line = least THEN next ELSE least END AS signature FROM keyed k JOIN least USING (doc_id) LEFT JOIN after USING (doc_id)
-), votes AS (
-    SELECT line, signature, min(source) AS site, min(doc_id) AS first_doc FROM signed GROUP BY line, signature
+), sets AS (
+    SELECT doc_id, string_agg(DISTINCT line, ',' ORDER BY line) AS all_lines, count(DISTINCT line) AS n_lines FROM keyed GROUP BY doc_id
 ), found AS (
-    SELECT line, min(first_doc) AS first_doc FROM votes GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
+    SELECT line, min(doc_id) AS first_doc FROM keyed JOIN sets USING (doc_id) GROUP BY line
+    HAVING count(DISTINCT source) >= {MIN_SITES} AND (count(DISTINCT all_lines) > 1 OR min(n_lines) = 1)
 ), marked AS (
     SELECT l.doc_id, l.pos, l.raw, f.line IS NOT NULL AS gone
     FROM lines l LEFT JOIN found f ON md5(trim(l.raw, ' ')) = f.line AND trim(l.raw, ' ') <> '' AND f.first_doc <> l.doc_id
