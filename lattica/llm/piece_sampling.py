@@ -21,8 +21,8 @@ from .common import mix64, slices, table, utf8, wider
 from .token_counts import tokenizer_path
 
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-#: Units whose lattice a worker remembers.
-REMEMBERED = 300_000
+#: Units whose lattices a worker remembers, and the nodes (characters, some 50 bytes each) that these may have.
+REMEMBERED, REMEMBERED_NODES = 300_000, 4_000_000
 #: Bytes of text that are sampled at once.
 BLOCK = 2 << 20
 #: Weight of a piece: its score in a unigram model; in a merge model, whose scores are ranks, that of Zipf's law. Times ALPHA.
@@ -162,7 +162,7 @@ class Lattices:
         sizes = np.array([len(x) for x in cut], np.int64)
         got = [list(map(self.ends.get, x)) for x in cut]
         if missing := {u for units, ends in zip(cut, got, strict=True) if None in ends for u, e in zip(units, ends, strict=True) if e is None}:
-            if len(self.ends) > REMEMBERED:
+            if len(self.ends) > REMEMBERED or self.nodes > REMEMBERED_NODES:
                 self.clear()
                 missing = {u for units in cut for u in units}
             self.learn(sorted(missing))

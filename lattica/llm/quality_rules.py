@@ -26,6 +26,8 @@ ORDERS = (1, 2)
 BROADCAST_IDS = 1_000_000
 #: Documents below this mean log-likelihood ratio go.
 THRESHOLD = -0.07
+#: Bytes of text that are worked through at once.
+BLOCK = 1 << 20
 #: Pseudo-counts of the trusted multinomial, spread like the raw one.
 PRIOR_COUNT = 200_000.0
 
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, trusted: DataFrame | list[int]) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BLOCK):
             is_good = pc.is_valid(part.column(0)).to_numpy(zero_copy_only=False)
             found = [(trust, at) for text, trust in zip(utf8(part.column(1)), is_good, strict=True) for at in text_buckets(text)]
             raw += np.bincount(np.concatenate([x for _, x in found]), minlength=BUCKETS)
@@ -141,7 +143,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | list[int], threshold: fl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = model.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BLOCK):
             rows = []
             for text in utf8(part.column(part.schema.get_field_index("text"))):
                 found = base_features(text)

@@ -11,8 +11,8 @@ import xxhash
 from .common import mix64
 
 _HASHES: dict[bytes, int] = {}
-#: Word hashes a worker remembers.
-REMEMBERED = 300_000
+#: Word hashes that a worker remembers, and the longest of their words: some 50 MB at most.
+REMEMBERED, LONGEST = 250_000, 64
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -22,7 +22,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         missing = {w for w, h in zip(words, got, strict=True) if h is None}
         found = dict(zip(missing, map(xxhash.xxh64_intdigest, missing), strict=True))
         if len(_HASHES) < REMEMBERED:
-            _HASHES.update(found)
+            _HASHES.update(found if max(map(len, missing)) <= LONGEST else {w: h for w, h in found.items() if len(w) <= LONGEST})
         got = [found[w] if h is None else h for w, h in zip(words, got, strict=True)]
     return np.fromiter(got, np.uint64, len(got))
 
