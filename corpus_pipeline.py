@@ -8,11 +8,12 @@ come from the documents it is given.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import shared_folder, table
+from lattica.llm.common import remove, shared_folder, table
 from lattica.llm.compression_classifier import classify, fit, fit_rows
 from lattica.llm.line_dedup import line_dedup
 from lattica.llm.ngram_jaccard import jaccard_components
@@ -23,33 +24,44 @@ from lattica.llm.quality_rules import quality_rules, trusted_rows
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
+def _with_own_columns(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
+    """The rows of ``operator(docs)`` where ``keep`` holds; other columns of ``docs`` come through even if they are named like one that the operator adds."""
+    aside = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    found = operator(docs.withColumnsRenamed(aside)).where(keep)
+    return found.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality_rules(docs, trusted_rows(table(spark, sf_dir, "labels"))).where("kept").select(docs.columns)
+    """Documents that the rules keep: null and empty texts, and all with fewer than ten words, go. Repeated rows are judged alike."""
+    return _with_own_columns(docs, lambda x: quality_rules(x, trusted_rows(table(spark, sf_dir, "labels"))), "kept")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good. It is fitted on labelled rows of the raw table: this stage's own input has hardly any bad ones left."""
+    """Documents that the classifier takes for good; a null text is judged as an empty one, repeated rows alike.
+
+    It is fitted on labelled rows of the raw table: this stage's own input has hardly any bad ones left.
+    """
     model = fit(*fit_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return classify(docs, model).where("predicted = 1").select(docs.columns)
+    return _with_own_columns(docs, lambda x: classify(x, model), "predicted = 1")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines. One that had nothing else goes: each of its lines stays in another document."""
-    found = line_dedup(docs).where("n_removed = 0 OR trim(translate(text, '\\n\\r\\t', '   ')) <> ''")
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Documents without boilerplate lines, with the ``n_chars`` of changed ones counted anew. One that had nothing else goes: each of its lines stays in another document. Null and empty texts stay."""
+    counted = lambda x: x.withColumn(chars, F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(chars)).cast(x.schema[chars].dataType))
+    chars = f"__own_{docs.columns.index('n_chars')}"
+    return _with_own_columns(docs, lambda x: counted(line_dedup(x)), "n_removed = 0 OR text IS NULL OR trim(translate(text, '\\n\\r\\t', '   ')) <> ''")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; documents without words stay."""
+    """One document of each group of near duplicates, the one with the smallest id; documents without words or id stay, rows with equal id and text become one."""
     found = jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
-    return packed(docs, with_ids=False)
+    """The pieces of all documents in their sequences, with their token ids: what a trainer reads. A null text is its end token alone."""
+    return packed(docs)
 
 
 STAGES = [
@@ -65,10 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written as Parquet in the shared folder and read again."""
+    """The stages one after another, each written as Parquet in the shared folder and read again; a stage's input goes once the stage is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

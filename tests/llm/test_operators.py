@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import boosting, chat_format, compression_classifier, html_extraction, line_dedup, ngram_jaccard, packing, page_samples, piece_sampling, projection_forest, quality_rules, queries, token_counts
 from lattica.llm.components import connected_components
@@ -159,6 +160,29 @@ def test_pages(spark):
     assert html_extraction.extract_text(odd.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = {
+        "no tag ends": "<div" * 250_000, "nested": "<div>x" * 100_000, "mixed quotes": "<a \"'>" * 150_000, "heads": "<head>" * 150_000, "unmatched ends": "<div>" * 60_000 + "</section>" * 60_000,
+        "items": "<li>x<p>" * 80_000, "comments": "<!--" * 250_000, "attributes": "<div " + 'id="' * 200_000 + ">", "cells": "<td><p>" * 80_000, "brackets": "<" * 1_000_000,
+    }
+    for name, source in pages.items():
+        start = time.process_time()
+        page = parse(source)
+        assert time.process_time() - start < 20, name
+        assert all(p < k for k, p in enumerate(page.parent)), name
+    nested = parse(pages["nested"])
+    assert nested.tag.count("div") == nested.tag.count("#text") == 100_000 and nested.parent[-1] == len(nested.tag) - 2
+
+
+def test_tags_end_outside_quotes():
+    runs = lambda source: [x for t in parse(source).texts for x in t]
+    assert runs("<p title='it\"s > so'>a</p>") == ["a"] and runs('<p title="a>b\'c">x') == ["x"]
+    assert runs('<p title="never closed>y') == ["y"] and runs("a <b") == ["a <b"] and runs("a <b <!-- c --> d") == ["a d"]
+    assert runs("a <b <!-- c > d") == ["a d"] and runs("<p \"'>x<p '\">y") == ["y"]
+
+
 def test_held_out_layouts():
     forest, right, wrong = html_extraction.model(), 0, 0
     for source in page_samples.pages(100, 99):
@@ -256,6 +280,40 @@ def test_embeddings(spark):
     assert projection_forest.embedding_components(frame.limit(0)).count() == 0
 
 
+def brute_links(unit, threshold=0.9):
+    close = unit @ unit.T >= threshold
+    np.fill_diagonal(close, False)
+    return close
+
+
+def test_embeddings_in_crowded_leaves(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((4, 32))
+    vectors = np.concatenate([centres[k % 4] + (0.1 + 0.1 * (k % 2)) * rng.standard_normal((150, 32)) for k in range(4)] + [rng.standard_normal((200, 32))])
+    frame = spark.createDataFrame([(k, v.tolist(), "x", 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, mark string, rep int")
+    close = brute_links(projection_forest.unit_rows(list(vectors), 32)[0])
+    got = {x.vec_id: (x.n_links, x.component_id) for x in projection_forest.embedding_components(frame, leaf_rows=8).collect()}  # leaves of over 32 rows are dealt out
+    assert len(got) == len(vectors) and 0.97 * close.sum() <= sum(n for n, _ in got.values()) <= close.sum()
+    whole = {x.vec_id: (x.n_links, x.component_id) for x in projection_forest.embedding_components(frame, leaf_rows=1000).collect()}
+    part = np.arange(len(vectors))
+    for _ in range(20):
+        part = np.array([min(part[k], *part[close[k]]) if close[k].any() else part[k] for k in range(len(part))])
+    assert whole == {k: (int(close[k].sum()), int(part[k])) for k in range(len(vectors))}
+
+
+def test_embedding_recall_beyond_the_sample(spark):
+    rng = np.random.default_rng(9)
+    unit = rng.standard_normal((12_000, 48))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    away = rng.standard_normal((3000, 48))
+    away -= (away * unit[:3000]).sum(1, keepdims=True) * unit[:3000]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    both = np.concatenate([unit, 0.903 * unit[:3000] + np.sqrt(1 - 0.903**2) * away])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = projection_forest.embedding_components(frame, leaf_rows=64, fit_rows=300)  # nine levels, of which the sample fits four
+    assert 0.95 * 6000 <= found.agg(F.sum("n_links")).first()[0] <= 6000
+
+
 def brute_components(rows, n, percent):
     def grams(text):
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -340,13 +398,37 @@ def test_line_spread_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     expected = duckdb.sql(f"""
         WITH keyed AS (SELECT doc_id, source, md5(trim(raw, ' ')) AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM '{sf}/documents.parquet') WHERE trim(raw, ' ') <> ''),
-        sets AS (SELECT doc_id, string_agg(line, ',' ORDER BY line) AS lines FROM (SELECT DISTINCT doc_id, line FROM keyed) GROUP BY doc_id)
-        SELECT line, min(doc_id) FROM keyed JOIN sets USING (doc_id) GROUP BY line HAVING count(DISTINCT source) >= 10 AND count(DISTINCT lines) > 1
+        sets AS (SELECT doc_id, string_agg(line, ',' ORDER BY line) AS lines, count(*) AS n FROM (SELECT DISTINCT doc_id, line FROM keyed) GROUP BY doc_id)
+        SELECT line, min(doc_id) FROM keyed JOIN sets USING (doc_id) GROUP BY line HAVING count(DISTINCT source) >= 10 AND (count(DISTINCT lines) > 1 OR min(n) = 1)
     """).fetchall()
     got = line_dedup.line_spread(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert len(expected) > 0 and sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_line_dedup_of_footers_and_lone_lines(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, f"body {k}\n" + "\n".join(f"{'AB'[k % 2]} footer {j}" for j in range(3)), f"site {k % 60}") for k in range(120)]  # two footers, 30 sites each
+    rows += [(1000 + k, "only a notice", f"site {k}") for k in range(50)]  # boilerplate and nothing else
+    rows += [(2000 + k, f"pair {k}\nleast {rng.integers(4)}", f"few {k % 9}") for k in range(90)]  # nine sites are too few
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_removed", F.lit("own")).withColumn("line", F.lit(1)).withColumn("gone", F.lit(2))
+    want = {x[0]: x[1] for x in rows} | {k: f"body {k}" for k in range(2, 120)} | {k: "" for k in range(1001, 1050)}
+    for most in (0, 500_000):  # by shuffle with salts, by broadcast
+        got = line_dedup.line_dedup(frame, broadcast_lines=most)
+        assert got.columns == [*[c for c in frame.columns if c != "n_removed"], "n_removed"]
+        assert {x.doc_id: x.text for x in got.collect()} == want
+
+
+def test_line_query_against_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, None if k % 41 == 0 else "\n".join([f"line {k % 7}", "", f"  shared {k % 3} ", f"own {k}"][: 1 + k % 4]), None if k % 13 == 0 else f"s{k % 17}") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(f"SELECT doc_id, n_removed, n_chars_kept, text_md5 FROM ({line_dedup.ORACLE_SQL})").fetchall()
+    got = line_dedup.op9_line_dedup(spark, str(tmp_path)).select("doc_id", "n_removed", "n_chars_kept", "text_md5").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(x[1] for x in want)
+
+
 # -- classifier, pieces ---------------------------------------------------------------------------------------------------------
 
 
@@ -367,6 +449,30 @@ def test_classifier(spark, odd, none):
     assert compression_classifier.classify(odd, compression_classifier.fit([], [])).where("score <> 0.5").count() == 0
 
 
+def test_classifier_against_its_definition(spark, odd, none):
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = compression_classifier.fit(*compression_classifier.fit_rows(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+    def size(text, dictionary):
+        whole = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(whole.compress(text[k : k + 256])) for k in range(0, max(len(text), 1), 256))
+
+    both = docs.union(odd.select("doc_id", "text"))
+    rows = compression_classifier.classify(both, model).collect()
+    assert len(rows) == both.count()
+    for x in rows:
+        raw = (x.text or "").encode()
+        good, bad = size(raw, model.good), size(raw, model.bad)
+        score = 1 / (1 + math.exp(-(model.slope * (bad - good) / max(good, bad) + model.level)))
+        assert abs(x.score - score) < 1e-8 and x.predicted == (x.score >= 0.7)
+    assert model.slope > 0 and compression_classifier.classify(none, model).count() == 0
+    again = spark.createDataFrame([(7, "a"), (7, "b"), (7, None)] * 50, "doc_id long, text string")  # a repeated id is one labelled row
+    assert len(compression_classifier.fit_rows(again, spark.createDataFrame([(7, 1)], "doc_id long, quality int"))[0]) == (zlib.crc32(b"7") % 4 != 2)
+
+
 def test_classifier_of_long_texts(spark):
     sf = "/root/testdata/sf0.1"
     texts, y = compression_classifier.fit_rows(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
@@ -451,3 +557,80 @@ def test_pipeline(spark):
     for x in corpus_pipeline.packing_stage(spark, kept, SF).collect():
         pieces[x.doc_id] += x.length
     assert pieces == collections.Counter(tokens)
+
+
+def test_counts_of_every_tokenizer():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    letters = list("abcXYZ éÉßñ0123'’.,;!<|>end of text\n\t  ﬁ中文ё😀­")
+    texts = ["", "<|endoftext|> a<|startoftext|>b", "it's WE'LL don'T", "É́ ǅ ŉ", *("".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(3000))]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tokenizer = Tokenizer.from_file(token_counts.tokenizer_path(name))
+        want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert token_counts.encoder(token_counts.tokenizer_path(name), True).count(texts).tolist() == list(map(len, want))
+        flat, sizes = token_counts.encoder(token_counts.tokenizer_path(name)).ids(texts)
+        assert flat.tolist() == [i for x in want for i in x] and sizes.tolist() == list(map(len, want))
+    processor = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path("piece_bpe_32k.model"))
+    assert token_counts.encoder(token_counts.tokenizer_path("piece_bpe_32k.model"), True).count(texts).tolist() == [len(x) for x in processor.encode(texts)]
+
+
+def test_remembered_bytes_are_bounded():
+    from lattica.llm.common import Recent
+
+    known, asked = Recent(20_000), []
+    find = lambda keys: asked.extend(keys) or [x.encode() for x in keys]
+    for k in range(50):
+        keys = ["hot", "x" * 5000, *(f"{k}-{i}" for i in range(30))]
+        assert known.look_up(keys, find) == [x.encode() for x in keys]
+        assert sum(map(len, (*known.young, *known.old))) < 20_000 and "x" * 5000 not in known.young
+    assert asked.count("hot") < 5 and asked.count("x" * 5000) == 50
+
+
+def test_unbroken_text_is_counted():
+    text = "Aé9!" * 60_000
+    assert token_counts.encoder(token_counts.tokenizer_path("word_bpe_49k.json"), True).count([text]).tolist() == [len(library_ids([text])[0])]
+
+
+def test_pipeline_stages_one_by_one(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    duckdb = pytest.importorskip("duckdb")
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = odd.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).withColumn("line", F.lit(1)).withColumn("mark", F.lit("m"))
+    for start in (whole, none.withColumn("lang", F.lit("x")).withColumn("n_chars", F.lit(0).cast("long")), extra):
+        docs = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            folder = f"{tmp_path}/{len(start.columns)}-{start is whole}-{k}"
+            stage(spark, docs, SF).write.parquet(folder)
+            found, given = spark.read.parquet(folder), docs.collect()
+            if k < 4:
+                assert found.columns == start.columns and found.dtypes == docs.dtypes
+            rows = found.collect()
+            if name == "quality_rules":
+                trusted = quality_rules.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
+                kept = {x.doc_id for x in quality_rules.quality_rules(docs.select("doc_id", "text"), trusted).where("kept").collect()}
+                assert sorted(map(repr, rows)) == sorted(repr(x) for x in given if x.doc_id in kept and len(words(x.text)) >= 10)
+            elif name == "quality_classifier":
+                scorer = compression_classifier.Scorer(compression_classifier.fit(*compression_classifier.fit_rows(whole, spark.read.parquet(f"{SF}/labels.parquet"))))
+                assert sorted(map(repr, rows)) == sorted(repr(x) for x in given if scorer.score([(x.text or "").encode()])[0].round(9) >= 0.7)
+            elif name == "line_dedup" and start is whole:
+                duck = duckdb.connect()
+                documents = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841
+                want = {i: (n, md5) for i, n, md5 in duck.execute(f"SELECT doc_id, n_chars_kept, text_md5 FROM ({line_dedup.ORACLE_SQL})").fetchall()}
+                assert all((x.n_chars, hashlib.md5(x.text.encode()).hexdigest()) == want[x.doc_id] for x in rows)
+                gone = {x.doc_id for x in given} - {x.doc_id for x in rows}
+                assert all(want[i][1] == hashlib.md5(b"\n" * want[i][0]).hexdigest() for i in gone)  # nothing but line ends was left
+            elif name == "ngram_jaccard":
+                part = {i: c for (i, _, c) in brute_components([(x.doc_id, x.text) for x in given], 5, 80)}
+                assert {x.doc_id for x in rows if x.doc_id is not None} == {i for i, c in part.items() if i == c and i is not None}
+            elif name == "packing":
+                want = {(x.doc_id, tuple([*ids, 2])) for x, ids in zip(given, library_ids([x.text for x in given]), strict=True)}
+                pieces = collections.defaultdict(list)
+                for x in rows:
+                    pieces[x.doc_id].append((x.start, x.ids))
+                if start is not extra:
+                    assert {(i, tuple(t for _, ids in sorted(v) for t in ids)) for i, v in pieces.items()} == want
+                assert sum(x.length for x in rows) == sum(len(ids) for _, ids in want) or start is extra
+            docs = found
