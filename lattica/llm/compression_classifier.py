@@ -1,8 +1,8 @@
 """Quality classifier by compression: a text is like the class whose zstandard dictionary shrinks it further.
 
-One dictionary is built from good and one from bad labelled texts. A whole text is cut into chunks that are compressed apart,
-so that the dictionary counts to its end; the difference of the two compressed sizes over the larger one, with the two
-compression ratios beside it, is turned into a probability by logistic regression on other labelled rows.
+One dictionary is built from good and one from bad labelled texts. A whole text is cut into short chunks that are compressed
+apart, so that the dictionary counts to its end. The difference of the two compressed sizes over the larger one is all that
+the score knows of a text; logistic regression on other labelled rows calibrates it to a probability.
 """
 
 from __future__ import annotations
@@ -18,24 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, utf8, wider
 
-CHUNK_BYTES, LEVEL, DICTIONARY_BYTES = 1024, 3, 110 << 10
+CHUNK_BYTES, LEVEL, DICTIONARY_BYTES = 256, 3, 110 << 10
 #: Fitted on at most so many labelled rows of each class (those with the smallest hash of their id), a longer text by about so many bytes in pieces spread over all of it; every second row goes into a dictionary, the others calibrate.
 FIT_ROWS, FIT_BYTES = 3000, 32 << 10
 #: Chunks of one text that go into a dictionary, spread over it.
-DICTIONARY_CHUNKS = 8
-KEEP_AT, HELD_OUT = 0.7, 2
-#: The place of the log length among the features.
-LENGTH = 3
+DICTIONARY_CHUNKS = 32
+KEEP_AT, HELD_OUT, SEED = 0.7, 2, 1
 
 
 class Model(NamedTuple):
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    spread: np.ndarray
-    weights: np.ndarray
-    prior: float
-    span: tuple[float, float]
+    slope: float
+    level: float
 
 
 class Scorer:
@@ -47,54 +42,42 @@ class Scorer:
             dictionary.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False, write_checksum=False))
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
+    def difference(self, text: bytes) -> float:
+        """How much smaller the good dictionary makes the text, as a share of the larger size; 0 for an empty one."""
         good, bad = (sum(len(x.compress(text[i : i + CHUNK_BYTES])) for i in range(0, len(text) or 1, CHUNK_BYTES)) for x in self.compressors)
-        return (good - bad) / max(good, bad), good / max(len(text), 1), bad / max(len(text), 1), float(np.log1p(len(text)))
+        return (bad - good) / max(good, bad)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        if not len(self.model.weights):
-            return np.full(len(texts), self.model.prior)
-        raw = np.array([self.features(x) for x in texts])
-        raw[:, LENGTH] = np.clip(raw[:, LENGTH], *self.model.span)  # no verdict by length beyond the fitted ones
-        return _probability(_expand(raw, self.model.mean, self.model.spread), self.model.weights)
-
-
-def _expand(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    x = np.clip((x - mean) / spread, -20, 20)
-    return np.concatenate([x, x * x, np.ones((len(x), 1))], axis=1)
-
-
-def _probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ weights, -40, 40)))
+        found = np.array([self.difference(x) if self.model.slope else 0.0 for x in texts])
+        return 1 / (1 + np.exp(-np.clip(self.model.slope * found + self.model.level, -40, 40)))
 
 
 def fit(texts: list[bytes], labels: list[int]) -> Model:
     """Rows at even places of each class make its dictionary, those at odd places calibrate."""
     by = {v: [t for t, y in zip(texts, labels, strict=True) if y == v] for v in (0, 1)}
-    prior = (len(by[1]) + 1) / (len(texts) + 2)
-    nothing = Model(b"", b"", np.empty(0), np.empty(0), np.empty(0), prior, (0.0, 0.0))
+    nothing = Model(b"", b"", 0.0, float(np.log((len(by[1]) + 1) / (len(by[0]) + 1))))
     if min(map(len, by.values())) < 8:
         return nothing
     content = {}
     for v, rows in by.items():
         chunks = [t[i : i + CHUNK_BYTES] for t in rows[::2] for i in spread_starts(len(t))]
+        chunks = [chunks[k] for k in np.random.default_rng(SEED).permutation(len(chunks))]  # the trainer takes a stretch of chunks for like ones
         try:
             content[v] = zstandard.train_dictionary(DICTIONARY_BYTES, chunks).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
             content[v] = b"".join(chunks)[-DICTIONARY_BYTES:] or b" "
-    model = nothing._replace(good=content[1], bad=content[0])
-    scorer = Scorer(model)
+    scorer = Scorer(nothing._replace(good=content[1], bad=content[0]))
     rows = [(t, v) for v in (0, 1) for t in by[v][1::2]]
-    raw, y = np.array([scorer.features(t) for t, _ in rows]), np.array([v for _, v in rows])
-    mean, spread = raw.mean(0), raw.std(0) + 1e-9
-    x, weights = _expand(raw, mean, spread), np.zeros(2 * raw.shape[1] + 1)
-    for _ in range(40):
-        p = _probability(x, weights)
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.1 * np.eye(len(weights)), x.T @ (y - p) - 0.1 * weights)
+    x, y = np.array([scorer.difference(t) for t, _ in rows]), np.array([v for _, v in rows])
+    spread = float(x.std()) or 1.0
+    columns, weights = np.stack([x / spread, np.ones(len(x))], axis=1), np.zeros(2)
+    for _ in range(40):  # Newton's method, with a slight pull to zero
+        p = 1 / (1 + np.exp(-np.clip(columns @ weights, -40, 40)))
+        step = np.linalg.solve((columns.T * (p * (1 - p))) @ columns + 0.1 * np.eye(2), columns.T @ (y - p) - 0.1 * weights)
         weights = weights + step
         if np.abs(step).max() < 1e-9:
             break
-    return model._replace(mean=mean, spread=spread, weights=weights, span=(float(raw[:, LENGTH].min()), float(raw[:, LENGTH].max())))
+    return Model(content[1], content[0], float(weights[0]) / spread, float(weights[1]))
 
 
 def spread_starts(size: int) -> list[int]:
@@ -113,14 +96,14 @@ def spread_text(text: Column) -> Column:
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[bytes], list[int]]:
-    """The bounded sample of labelled, not held-out documents, in a fixed order."""
+    """The bounded sample of labelled, not held-out documents, in a fixed order; of repeated ids one text."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out("doc_id"))
     picked = None
     for v in (0, 1):
         part = known.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = part if picked is None else picked.union(part)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", spread_text(F.col("text")).alias("text"), "quality").collect()  # at most 2 * rows ids
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(spread_text(F.col("text"))).alias("text")).collect()  # one text for each of at most 2 * rows ids
     found.sort(key=lambda r: (r.quality, r.doc_id, r.text))
     return [r.text.encode() for r in found], [r.quality for r in found]
 
