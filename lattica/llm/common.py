@@ -96,7 +96,7 @@ class Recent:
 
     LONGEST, EACH = 64, 200
 
-    def __init__(self, most_bytes: int = 64 << 20):
+    def __init__(self, most_bytes: int = 48 << 20):
         self.most_bytes, self.held = most_bytes, 0
         self.young: dict = {}
         self.old: dict = {}

@@ -11,8 +11,8 @@ import xxhash
 from .common import mix64
 
 _HASHES: dict[bytes, int] = {}
-#: Word hashes that a worker remembers, and the longest of their words: some 50 MB at most.
-REMEMBERED, LONGEST = 250_000, 64
+#: Word hashes that a worker remembers, and the longest of their words: some 30 MB at most.
+REMEMBERED, LONGEST = 150_000, 64
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
