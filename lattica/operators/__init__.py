@@ -1,0 +1,3 @@
+"""Operators; importing any of them gives arrays all their methods."""
+
+from . import array, binning, coords  # noqa: F401

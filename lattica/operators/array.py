@@ -21,6 +21,10 @@ from ..units import ONE, Unit, UnitError, unit_of
 from . import reducers
 
 
+#: The size of a dim whose rows have no positions.
+UNKNOWN = -1
+
+
 class DimensionError(RuntimeError):
     pass
 
@@ -66,6 +70,14 @@ class LabelledArray:
     def ndim(self) -> int:
         return len(self.dims)
 
+    def size_of(self, dim: str) -> int:
+        """The size of a dim whose rows have positions."""
+        if dim not in self.sizes:
+            raise DimensionError(f"no dim {dim!r} in {self.dims}")
+        if self.sizes[dim] == UNKNOWN:
+            raise DimensionError(f"the rows along {dim!r} have no positions: give table() an order")
+        return self.sizes[dim]
+
     @property
     def quantity(self) -> Quantity:
         return Quantity(F.col("value"), F.col("variance") if self.has_variance else None, self.unit, self.dtype)
@@ -109,6 +121,10 @@ class LabelledArray:
             if set(self.dims) <= set(other.dims):
                 return other._binary(function, self, not swapped)
             raise DimensionError(f"dims {self.dims} and {other.dims}: one has to hold the other")
+        if other.df is self.df and other.dims == self.dims and set(other.masks) <= set(self.masks) and set(other.coords) <= set(self.coords):
+            return self._with(function(other.quantity, self.quantity) if swapped else function(self.quantity, other.quantity))
+        if any(self.sizes[d] == UNKNOWN or other.sizes[d] == UNKNOWN for d in other.dims):
+            raise DimensionError("rows of a table without order have no positions to meet by: give table() an order, or use columns of one frame")
         if any(self.sizes[d] != other.sizes[d] for d in other.dims):
             raise DimensionError("sizes differ")
         if other.has_variance and len(other.dims) < len(self.dims):
@@ -165,6 +181,9 @@ class LabelledArray:
     def __rsub__(self, other): return self._binary(q.subtract, other, True)
     def __rmul__(self, other): return self._binary(q.multiply, other, True)
     def __rtruediv__(self, other): return self._binary(q.divide, other, True)
+    def __rfloordiv__(self, other): return self._binary(q.floor_divide, other, True)
+    def __rmod__(self, other): return self._binary(q.mod, other, True)
+    def __rpow__(self, other): return self._binary(q.pow, other, True)
     def __lt__(self, other): return self._binary(q.less, other)
     def __gt__(self, other): return self._binary(q.greater, other)
     def __le__(self, other): return self._binary(q.less_equal, other)
@@ -292,7 +311,7 @@ class LabelledArray:
         dim, at = key
         if dim not in self.dims:
             raise DimensionError(f"no dim {dim!r} in {self.dims}")
-        n = self.sizes[dim]
+        n = self.size_of(dim)
         if isinstance(at, int):
             if not -n <= at < n:
                 raise IndexError(f"{at} is out of range for {dim!r} of size {n}")
@@ -411,8 +430,8 @@ class LabelledArray:
 
     def fold(self, dim: str, **sizes: int) -> LabelledArray:
         """Split a dim into several, row-major; one size may be -1."""
-        known = int(np.prod([n for n in sizes.values() if n != -1]))
-        sizes = {d: self.sizes[dim] // known if n == -1 else n for d, n in sizes.items()}
+        known, whole = int(np.prod([n for n in sizes.values() if n != -1])), self.size_of(dim)
+        sizes = {d: whole // known if n == -1 else n for d, n in sizes.items()}
         if int(np.prod(list(sizes.values()))) != self.sizes[dim]:
             raise DimensionError(f"{sizes} does not hold {self.sizes[dim]} elements")
         df, step = self.df.withColumnRenamed(dim, "_flat"), self.sizes[dim]
@@ -444,7 +463,7 @@ class LabelledArray:
         return rows.select(*rest, F.transform("v", lambda x: x.value).alias("values"))
 
     def slices(self, dim: str) -> dict[str, LabelledArray]:
-        return {f"{dim}:{k}": self[dim, k] for k in range(self.sizes[dim])}
+        return {f"{dim}:{k}": self[dim, k] for k in range(self.size_of(dim))}
 
     def midpoints(self, dim: str | None = None) -> LabelledArray:
         dim = dim or (self.dims[0] if self.ndim == 1 else None)
@@ -455,7 +474,7 @@ class LabelledArray:
         w = Window.partitionBy(*(d for d in self.dims if d != dim)).orderBy(dim)
         after, now = F.lead("value").over(w), F.col("value")
         value = now + F.floor((after - now) / 2) if self.dtype == "datetime" else (now + after) / 2
-        kept = self.df.withColumn("_mid", value).where(F.col(dim) < self.sizes[dim] - 1)
+        kept = self.df.withColumn("_mid", value).where(F.col(dim) < self.size_of(dim) - 1)
         kept = kept.select(*self.dims, F.col("_mid").alias("value"))
         return LabelledArray(kept, self.dims, {**self.sizes, dim: max(0, self.sizes[dim] - 1)}, {}, {}, self.unit, "datetime" if self.dtype == "datetime" else "float64")
 
@@ -482,6 +501,8 @@ class LabelledArray:
         if self.has_variance:
             raise q.VariancesError("cumsum has no rule for variances")
         order = [dim] if dim else list(self.dims)
+        for d in order:
+            self.size_of(d)
         w = Window.partitionBy(*(d for d in self.dims if d not in order)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if mode == "inclusive" else -1)
         total = F.coalesce(F.sum("value").over(w), F.lit(0)).cast("double" if self.dtype.startswith("float") else "long")
         return self._with(Quantity(total, None, self.unit, self.dtype))
@@ -489,6 +510,8 @@ class LabelledArray:
 
 for _name in ("sum", "nansum", "mean", "nanmean", "min", "max", "nanmin", "nanmax", "all", "any", "median", "nanmedian"):
     setattr(LabelledArray, _name, (lambda op: lambda self, dim=None: self.reduce(op, dim))(_name))
+for _name in ("floor", "ceil", "round", "sqrt", "exp", "log", "log10", "reciprocal", "nan_to_num"):
+    setattr(LabelledArray, _name, (lambda f: lambda self, *args, **options: self.map(f, *args, **options))(getattr(q, _name)))
 for _name in ("var", "nanvar", "std", "nanstd"):
     setattr(LabelledArray, _name, (lambda op: lambda self, dim=None, *, ddof: self.reduce(op, dim, ddof))(_name))
 
@@ -527,9 +550,10 @@ def concat(arrays: list[LabelledArray], dim: str) -> LabelledArray:
         df = fold_left(DataFrame.unionByName, stacked)
         return replace(first, df=df, dims=(dim, *first.dims), sizes={dim: len(arrays), **first.sizes})
     offset, parts, edges = 0, [], {}
+    placed = all(a.sizes[dim] != UNKNOWN for a in arrays)
     for a in arrays:
-        parts.append(a.df.withColumn(dim, F.col(dim) + offset))
-        offset += a.sizes[dim]
+        parts.append(a.df.withColumn(dim, F.col(dim) + offset) if placed else a.df)
+        offset = offset + a.sizes[dim] if placed else UNKNOWN
     for n, c in first.coords.items():
         if c.edges is not None and dim in c.dims:
             joined = c.edges
@@ -547,14 +571,15 @@ def reduce_objects(arrays: list[LabelledArray], op: str) -> LabelledArray:
 
 
 def table(df: DataFrame, *, value: Column | None = None, unit: str | Unit | None = "one", variance: Column | None = None, coords: dict[str, tuple[Column, str | Unit | None]] | None = None, masks: dict[str, Column] | None = None, order: list[Column] | None = None, dim: str = "row") -> LabelledArray:
-    """An event table as a one-dim array. Positions are numbered by ``order`` where it is given, else not at all: few operators need them."""
+    """An event table as a one-dim array. Positions are numbered by ``order`` where it is given, else not at all: few operators need them, and those refuse."""
     value = F.lit(1.0) if value is None else value
     columns = [F.lit(0).cast("long").alias(dim), value.alias("value"), *([variance.alias("variance")] if variance is not None else []), *(c.alias(f"c_{n}") for n, (c, _) in (coords or {}).items()), *(m.alias(f"m_{n}") for n, m in (masks or {}).items())]
     out = df.select(*columns) if order is None else df.select(*columns, *(o.alias(f"_o{k}") for k, o in enumerate(order)))
     if order is not None:
         out = renumbered(out, dim, [F.col(f"_o{k}").asc() for k in range(len(order))]).drop(*(f"_o{k}" for k in range(len(order))))
     kinds = {f.name: KINDS.get(f.dataType.simpleString(), "string") for f in out.schema.fields}
-    return LabelledArray(out, (dim,), {dim: -1}, {n: Coord((dim,), unit_of(u), kinds[f"c_{n}"]) for n, (_, u) in (coords or {}).items()}, {n: (dim,) for n in masks or {}}, unit_of(unit), kinds["value"], variance is not None)
+    size = UNKNOWN if order is None else out.count()  # of a checkpoint
+    return LabelledArray(out, (dim,), {dim: size}, {n: Coord((dim,), unit_of(u), kinds[f"c_{n}"]) for n, (_, u) in (coords or {}).items()}, {n: (dim,) for n in masks or {}}, unit_of(unit), kinds["value"], variance is not None)
 
 
 def from_numpy(spark: SparkSession, dims: Iterable[str], values, variances=None, unit: str | Unit | None = "one", coords: dict[str, tuple[tuple[str, ...], object, str | None]] | None = None, masks: dict | None = None) -> LabelledArray:

@@ -119,3 +119,6 @@ def transform_coords(x: LabelledArray | Binned, targets: list[str] | str, graph:
 def _missing(name: str) -> Quantity:
     raise CoordError(f"{name!r} has bin edges: rules need a coordinate column")
 
+
+LabelledArray.transform_coords = transform_coords
+Binned.transform_coords = transform_coords

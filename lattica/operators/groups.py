@@ -37,6 +37,12 @@ class DataGroup(dict):
     def __sub__(self, other): return self._both(other, "__sub__")
     def __mul__(self, other): return self._both(other, "__mul__")
     def __truediv__(self, other): return self._both(other, "__truediv__")
+    def __floordiv__(self, other): return self._both(other, "__floordiv__")
+    def __mod__(self, other): return self._both(other, "__mod__")
+    def __pow__(self, other): return self._both(other, "__pow__")
+
+    def copy(self) -> DataGroup:
+        return DataGroup(self)
 
     def __getitem__(self, key):
         if isinstance(key, tuple):
@@ -73,6 +79,27 @@ class Dataset:
     def __sub__(self, other): return self._both(other, "__sub__")
     def __mul__(self, other): return self._both(other, "__mul__")
     def __truediv__(self, other): return self._both(other, "__truediv__")
+    def __floordiv__(self, other): return self._both(other, "__floordiv__")
+    def __mod__(self, other): return self._both(other, "__mod__")
+    def __pow__(self, other): return self._both(other, "__pow__")
+
+    def __setitem__(self, name: str, item: LabelledArray) -> None:
+        self.items = Dataset({**self.items, name: item}).items
+
+    def __delitem__(self, name: str) -> None:
+        del self.items[name]
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def update(self, items: dict[str, LabelledArray]) -> None:
+        self.items = Dataset({**self.items, **items}).items
+
+    def pop(self, name: str) -> LabelledArray:
+        return self.items.pop(name)
+
+    def clear(self) -> None:
+        self.items.clear()
 
 
 def merge(left: Dataset, right: Dataset) -> Dataset:

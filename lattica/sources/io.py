@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantity import KINDS
-from ..operators.array import Coord, LabelledArray, table
+from ..operators.array import Coord, LabelledArray, renumbered
 from ..operators.groups import Dataset
 from ..units import Unit, unit_of
 
@@ -27,12 +26,19 @@ def parse_bracket_header(head: str) -> tuple[str, Unit | None]:
 
 
 def load_csv(spark: SparkSession, path: str, sep: str = ",", data_columns: list[str] | None = None, header: bool = True) -> Dataset:
-    """Columns named in ``data_columns`` (all by default) are items, the others coordinates. Spark reads in parallel; a schema job comes first."""
+    """Columns named in ``data_columns`` (all by default) are items, the others coordinates; rows are numbered as they stand in the files.
+
+    Spark reads in parallel; a schema job comes first.
+    """
     df = spark.read.csv(path, sep=sep, header=header, inferSchema=True)
     heads = {c: parse_bracket_header(c) for c in df.columns}
     data = [c for c in df.columns if data_columns is None or heads[c][0] in data_columns]
-    coords = {heads[c][0]: (F.col(f"`{c}`"), heads[c][1]) for c in df.columns if c not in data}
-    return Dataset({heads[c][0]: replace(table(df, value=F.col(f"`{c}`"), unit=heads[c][1], coords=coords), name=heads[c][0]) for c in data})
+    columns = [F.col(f"`{c}`").alias(f"v{k}" if c in data else f"c_{heads[c][0]}") for k, c in enumerate(df.columns)]
+    rows = renumbered(df.select(F.monotonically_increasing_id().alias("row"), *columns), "row")
+    size, kinds = rows.count(), {f.name: KINDS.get(f.dataType.simpleString(), "string") for f in rows.schema.fields}
+    coords = {heads[c][0]: Coord(("row",), heads[c][1], kinds[f"c_{heads[c][0]}"]) for c in df.columns if c not in data}
+    item = lambda k, name, unit: LabelledArray(rows.select("row", F.col(f"v{k}").alias("value"), *(f"c_{n}" for n in coords)), ("row",), {"row": size}, coords, {}, unit, kinds[f"v{k}"], False, name)
+    return Dataset({heads[c][0]: item(k, *heads[c]) for k, c in enumerate(df.columns) if c in data})
 
 
 def describe(x: LabelledArray) -> dict:
