@@ -12,16 +12,21 @@ from dataclasses import dataclass, replace
 from functools import reduce as fold_left
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import SHORT, last_at_or_below, literal_array
 from ..functions.quantity import Quantity
 from ..units import COUNTS, Unit, UnitError
+from ..plans.shared import checkpointed
 from . import reducers
-from .array import BinEdgeError, Coord, CoordError, DimensionError, LabelledArray
+from .array import BinEdgeError, Coord, CoordError, DimensionError, LabelledArray, renumbered
 
 #: Dense results beyond this many cells are refused.
 MOST_CELLS = 10_000_000
+#: Labels are broadcast up to so many bytes, joined by shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -52,28 +57,37 @@ def edges_for(array: LabelledArray, name: str, wanted) -> np.ndarray:
 
 def bin_index(x: Column, edges: np.ndarray, is_float: bool = True) -> Column:
     """The bin that holds ``x``; null where there is none (outside, NaN, null)."""
-    values = edges.tolist()
-    inside = (x >= values[0]) & (x < values[-1])
+    edges = np.asarray(edges)
+    values, n = edges.tolist(), len(edges) - 1
+    low, high = values[0], values[-1]
+    inside = (x >= low) & (x < high)
     if is_float:
         inside = inside & ~F.isnan(x)
-    steps = np.diff(np.asarray(edges, dtype=np.float64))
-    n = len(values) - 1
-    if n > 1 and np.allclose(steps, steps[0], rtol=1e-9):
-        guess = F.least(F.floor((x.cast("double") - values[0]) * (n / (float(values[-1]) - float(values[0])))), F.lit(n - 1)).cast("long")
-        at = F.array(*map(F.lit, values))  # the edges themselves decide, whatever rounding does to the guess
-        guess = F.greatest(guess, F.lit(0).cast("long"))
-        index = F.when(x < F.get(at, guess), guess - 1).when(x >= F.get(at, guess + 1), guess + 1).otherwise(guess)
+    step = (float(high) - float(low)) / n
+    if n > 1 and np.array_equal(edges[:-1].astype(np.float64), float(low) + np.arange(n) * step):  # the very edges, computed
+        edge = lambda k: F.when(k == n, F.lit(float(high))).otherwise(F.lit(float(low)) + k * F.lit(step))
+        guess = F.greatest(F.least(F.floor((x.cast("double") - float(low)) * (n / (float(high) - float(low)))), F.lit(n - 1)), F.lit(0)).cast("long")
+        index = F.when(x < edge(guess), guess - 1).when(x >= edge(guess + 1), guess + 1).otherwise(guess)
     else:
-        def tree(low: int, high: int) -> Column:
-            if high - low == 1:
-                return F.lit(low).cast("long")
-            middle = (low + high) // 2
-            return F.when(x < values[middle], tree(low, middle)).otherwise(tree(middle, high))
-
-        index = tree(0, n)
+        index = last_at_or_below(x, values[:-1])
     return F.when(inside, index)
 
 
+def label_table(spark: SparkSession, labels: list, kind: str, label: str, place: str) -> DataFrame:
+    """Labels and their places as a frame; to be broadcast if they are few and short by their own measure."""
+    rows = pa.table({label: pa.array(labels), place: pa.array(range(len(labels)), pa.int64())})
+    table = spark.createDataFrame(rows).select(F.col(label).cast(kind).alias(label), place).where(~F.isnan(label) if kind in ("double", "float") else F.lit(True)) if labels else spark.createDataFrame([], f"{label} {kind}, {place} long")
+    return F.broadcast(table) if rows.nbytes <= BROADCAST_BYTES else table
+
+
+def with_labels(df: DataFrame, dim: str, labels: list, column: str) -> DataFrame:
+    """``df`` with the label of each row's place along ``dim``."""
+    if len(labels) <= SHORT or all(type(v) in (int, float) for v in labels):
+        return df.withColumn(column, F.get(literal_array(labels), F.col(dim).cast("int")))
+    kind = "string" if isinstance(labels[0], str) else df.sparkSession.createDataFrame([(labels[0],)], ["v"]).dtypes[0][1]
+    return df.join(label_table(df.sparkSession, labels, kind, column, dim), dim, "left").select(*df.columns, column)
+
+
 def dense_grid(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
     cells = int(np.prod(list(sizes.values()))) if sizes else 1
     if cells > MOST_CELLS:
@@ -121,13 +135,20 @@ class Binned:
         coords = {n: c for n, c in self.coords.items() if set(c.dims) <= set(self.dims)}
         for n, c in coords.items():
             if c.edges is not None and len(c.edges) == self.sizes[c.dims[0]]:  # labels
-                df = df.withColumn(f"c_{n}", F.get(F.array(*map(F.lit, c.edges.tolist())), F.col(c.dims[0])))
+                df = with_labels(df, c.dims[0], c.edges.tolist(), f"c_{n}")
         coords = {n: replace(c, edges=None) if len(c.edges) == self.sizes[c.dims[0]] else c for n, c in coords.items()}
         out_array = LabelledArray(df, self.dims, self.sizes, coords, {}, reducers.result_unit(op, e.unit), out, variance is not None)
         for m, mask in self.masks.items():
             out_array = replace(out_array, df=out_array.df.join(mask, [d for d in mask.columns if d in self.dims], "left").withColumn(f"m_{m}", F.coalesce(F.col(f"m_{m}"), F.lit(False))), masks={**out_array.masks, m: tuple(d for d in mask.columns if d in self.dims)})
         return out_array
 
+    def reduce_many(self, **ops: str) -> DataFrame:
+        """Bin dims and a column for each named reduction (``size`` counts events), all in one pass over the events."""
+        e = self.events
+        keep = fold_left(lambda a, b: a & b, [~F.col(f"m_{m}") for m in e.masks]) if e.masks else None
+        found = {n: F.count(F.lit(1)) if op == "size" else reducers.aggregate(op, F.col("value"), None, keep, e.dtype)[0] for n, op in ops.items()}
+        return self._dense([c.alias(n) for n, c in found.items()], {n: 0 if op == "size" else reducers.identity(op, e.dtype) for n, op in ops.items()})
+
     def size(self) -> LabelledArray:
         df = self._dense([F.count(F.lit(1)).alias("value")], {"value": 0})
         return LabelledArray(df, self.dims, self.sizes, {n: c for n, c in self.coords.items() if len(c.edges) != self.sizes.get(c.dims[0])}, {}, None, "int64")
@@ -254,14 +275,15 @@ def group(x: LabelledArray | Binned, /, **labels) -> Binned:
     for name, wanted in labels.items():
         column, is_float = F.col(f"c_{name}"), events.coords[name].dtype.startswith("float")
         if wanted is None:
-            distinct = df.select(column.alias("v")).where(column.isNotNull()).distinct().orderBy("v").limit(MOST_CELLS)
-            wanted = [r.v for r in distinct.collect()]
-            wanted = [v for v in wanted if not (is_float and v != v)]
+            distinct = df.select(column.alias("v")).where(column.isNotNull()).distinct().limit(MOST_CELLS + 1).toArrow().column(0).to_pylist()
+            if len(distinct) > MOST_CELLS:
+                raise DimensionError(f"over {MOST_CELLS} labels of {name!r} are too many for a dense result: aggregate the frame by its column")
+            wanted = sorted(v for v in distinct if not (is_float and v != v))
         wanted = list(wanted)
         if len(set(wanted)) < len(wanted):
             raise CoordError(f"labels of {name!r} repeat")
-        table = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(wanted) if v == v], f"_label {dict(df.dtypes)[f'c_{name}']}, {name} long")
-        df = df.drop(name).join(table if len(wanted) > 1_000_000 else F.broadcast(table), column == F.col("_label")).drop("_label")
+        table = label_table(df.sparkSession, wanted, dict(df.dtypes)[f"c_{name}"], "_label", name)
+        df = df.drop(name).join(table, column == F.col("_label")).drop("_label")
         dims, sizes, known = (*(d for d in dims if d != name), name), {**sizes, name: len(wanted)}, {**known, name: Coord((name,), events.coords[name].unit, events.coords[name].dtype, np.array(wanted))}
     return Binned(replace(events, df=df, dims=(), sizes={}), dims, sizes, known, {})
 
@@ -282,7 +304,8 @@ class GroupBy:
         keep = fold_left(lambda x, y: x & y, [~F.col(f"m_{m}") for m in a.masks]) if a.masks else None
         value, variance = reducers.aggregate(op, F.col("value"), F.col("variance") if a.has_variance else None, keep, a.dtype)
         found = a.df.groupBy(F.col(f"c_{self.key}"), *rest).agg(value.alias("value"), *([variance.alias("variance")] if variance is not None else []))
-        keys = found.select(F.col(f"c_{self.key}").alias("_key")).distinct().withColumn(self.key, (F.dense_rank().over(Window.orderBy(F.col("_key").asc())) - 1).cast("long"))
+        found = checkpointed(found)  # of the size of the result; used for the keys and for the values
+        keys = renumbered(found.select(F.col(f"c_{self.key}").alias("_key")).distinct().withColumn(self.key, F.lit(0).cast("long")), self.key, [F.col("_key").asc()])
         count = keys.count()
         if count > MOST_CELLS:
             raise DimensionError(f"{count} groups are too many for a dense result")
@@ -379,7 +402,7 @@ def _widths(array: LabelledArray, dim: str) -> tuple[Column, Unit]:
     c = array.coords.get(dim)
     if c is None or c.edges is None:
         raise BinEdgeError(f"{dim!r} has no edges")
-    return F.get(F.array(*map(F.lit, np.abs(np.diff(c.edges)).tolist())), F.col(dim)), c.unit
+    return F.get(literal_array(np.abs(np.diff(c.edges))), F.col(dim).cast("int")), c.unit
 
 
 def counts_to_density(array: LabelledArray, dim: str) -> LabelledArray:
@@ -392,3 +415,9 @@ def counts_to_density(array: LabelledArray, dim: str) -> LabelledArray:
 def density_to_counts(array: LabelledArray, dim: str) -> LabelledArray:
     width, unit = _widths(array, dim)
     return array.map(lambda x: x * Quantity(width, None, unit))
+
+
+for _function in (bin, hist, nanhist, group, groupby, rebin):
+    setattr(LabelledArray, _function.__name__, _function)
+for _function in (bin, nanhist, group):
+    setattr(Binned, _function.__name__, _function)

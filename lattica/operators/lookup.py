@@ -1,7 +1,7 @@
 """Lookup tables: the value of the bin that holds a point, of the point before it, or of the nearest one.
 
-A table of at most ``DRIVER_ROWS`` entries becomes arrays in the plan; a larger one is joined: for histograms by the bin's index,
-for points by a union that is sorted within hash partitions of the key range.
+A table of at most ``DRIVER_ROWS`` entries becomes two constant arrays in the plan: a lookup is then arithmetic or a binary search
+in a scan, without a shuffle. Larger tables are joined with ``asof_join`` or ``range_join``.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import last_at_or_below, literal_array
 from ..functions.quantity import NAN, Quantity
 from ..units import Unit, UnitError
 from .array import CoordError, LabelledArray
 from .binning import Binned, bin_index
 
-#: Entries of a table that go into the plan as literals.
-DRIVER_ROWS = 4096
+#: Entries of a table that go into the plan as constant arrays (about 16 bytes each).
+DRIVER_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -36,19 +37,11 @@ class Lookup:
         n, fill = len(self.values), F.lit(self.fill)
         if not n:
             return fill
-        table = F.array(*(F.lit(v) for v in self.values))
+        table = literal_array(self.values)
         if self.histogram:
-            return F.coalesce(F.get(table, bin_index(x, self.breaks)), fill)
-        breaks = self.breaks.tolist()
-
-        def tree(low: int, high: int) -> Column:
-            """The last break at or below ``x``, between ``low`` and ``high``."""
-            if high - low == 1:
-                return F.lit(low)
-            middle = (low + high) // 2
-            return F.when(x < breaks[middle], tree(low, middle)).otherwise(tree(middle, high))
-
-        return F.when(x.isNull() | (x < breaks[0]), fill).otherwise(F.get(table, tree(0, n)))  # NaN is above all, so it gets the last
+            return F.coalesce(F.get(table, bin_index(x, self.breaks).cast("int")), fill)
+        place = last_at_or_below(x, self.breaks).cast("int")
+        return F.when(x.isNull() | (x < float(self.breaks[0])), fill).otherwise(F.get(table, place))  # NaN is above all, so it gets the last
 
     def __getitem__(self, x: Quantity) -> Quantity:
         if x.unit != self.coord_unit:
@@ -77,7 +70,7 @@ def lookup(array: LabelledArray, dim: str, mode: str = "nearest", fill_value: ob
     columns = [dim, "value", *(f"m_{m}" for m in applied)] + ([] if c.edges is not None else [f"c_{dim}"])
     if array.df.count() > DRIVER_ROWS:
         raise ValueError(f"more than {DRIVER_ROWS} entries: join with asof_join or range_join")
-    rows = array.df.select(*columns).orderBy(dim).collect()
+    rows = array.df.select(*columns).toArrow().sort_by(dim).to_pylist()
     fill = fill_value if fill_value is not None else {"bool": False, "int64": 0, "int32": 0}.get(array.dtype, NAN)
     hidden = [any(r[f"m_{m}"] for m in applied) for r in rows]
     if c.edges is not None:
