@@ -58,8 +58,7 @@ def masked_items(spark: SparkSession, sf_dir: str) -> LabelledArray:
 def order_series(spark: SparkSession, sf_dir: str) -> LabelledArray:
     """orders by key: a one-dim array of total prices with the customer as a coordinate."""
     o = read(spark, sf_dir, "orders")
-    out = table(o, value=F.col("o_totalprice"), unit="counts", coords={"key": (F.col("o_orderkey"), None), "customer": (F.col("o_custkey"), None), "priority": (F.col("o_orderpriority"), None)}, order=[F.col("o_orderkey")], dim="order")
-    return LabelledArray(**{**out.__dict__, "sizes": {"order": out.df.count()}})
+    return table(o, value=F.col("o_totalprice"), unit="counts", coords={"key": (F.col("o_orderkey"), None), "customer": (F.col("o_custkey"), None), "priority": (F.col("o_orderpriority"), None)}, order=[F.col("o_orderkey")], dim="order")
 
 
 def r(x: Column | str, digits: int = 4) -> Column:
@@ -128,8 +127,7 @@ def hist_masked(spark, sf):
 FROM {sql_bins(EDGES)} b LEFT JOIN lineitem ON l_quantity >= lo AND l_quantity < hi GROUP BY 1""")
 def bins_reduce(spark, sf):
     b = bin(items(spark, sf), quantity=EDGES)
-    n, mean, low, high = (x.df.select("quantity", F.col("value").alias(k)) for k, x in (("n", b.size()), ("mean", b.mean()), ("lowest", b.min()), ("highest", b.max())))
-    return n.join(mean, "quantity").join(low, "quantity").join(high, "quantity").select(F.col("quantity").alias("bin"), "n", F.round("mean", 4).alias("mean"), "lowest", "highest")
+    return b.reduce_many(n="size", mean="mean", lowest="min", highest="max").select(F.col("quantity").alias("bin"), "n", F.round("mean", 4).alias("mean"), "lowest", "highest")
 
 
 @register("SELECT l_linestatus AS status, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity < 50 GROUP BY 1")
@@ -405,11 +403,13 @@ def create_linspace(spark, sf):
     return creation.linspace(spark, "pos", 2.0, 5.0, 8).df.select("pos", r("value", 9).alias("v"))
 
 
-@register("SELECT 0 AS first, (SELECT count(*) FROM orders) AS n, true AS sorted_by_key".replace("0 AS first", "0::BIGINT AS first"))
+@register("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, lag(o_orderkey) OVER w AS pk, lag(o_custkey) OVER w AS pc FROM orders WINDOW w AS (ORDER BY o_orderkey))
+SELECT 0::BIGINT AS first, count(*) AS n, bool_and(coalesce(pk <= k, true)) AS up, bool_and(coalesce(pk >= k, true)) AS down, bool_and(coalesce(pc <= c, true)) AS by_customer FROM o""")
 def sorted_checks(spark, sf):
     a = order_series(spark, sf)
-    keys = a.assign_data(a.coord("key"))
-    return keys.df.agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("sorted_by_key", F.lit(keys.allsorted("order")))
+    keys, customers = a.assign_data(a.coord("key")), a.assign_data(a.coord("customer"))
+    found = {"up": keys.allsorted("order"), "down": keys.allsorted("order", "descending"), "by_customer": customers.allsorted("order")}
+    return keys.df.agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).select("*", *(F.lit(v).alias(n) for n, v in found.items()))
 
 
 # -- lookups, joins, re-binning ---------------------------------------------------------------------------------------------------------
@@ -569,3 +569,226 @@ def hist_datetime(spark, sf):
     seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     a = table(e, coords={"time": (seconds.cast("long"), "s")})
     return bin(a, time=np.array(_HOURS)).size().df.select(F.col("time").alias("bin"), F.col("value").alias("n"))
+
+
+# -- more of each family, on whole tables -------------------------------------------------------------------------------------------------
+
+
+@register("""SELECT l_orderkey, l_linenumber, round(l_extendedprice - (l_discount + 1), 6) AS s, round(l_quantity + l_discount, 6) AS sv, round(-l_extendedprice, 6) AS neg, l_quantity AS negv, round(abs(l_tax - 0.04), 8) AS ab, round(1 / l_extendedprice, 10) AS rec,
+round(log10(l_extendedprice), 8) AS lg, CASE WHEN l_tax = 0 THEN -1.0 ELSE round(l_quantity / l_tax, 6) END AS num, round(l_quantity, 6) AS var, round(sqrt(l_quantity), 8) AS dev, l_extendedprice::BIGINT AS whole FROM (SELECT *, 0 FROM lineitem)""".replace("l_extendedprice::BIGINT", "trunc(l_extendedprice)::BIGINT"))
+def arithmetic_more(spark, sf):
+    df, x, y = _pair(spark, sf)
+    tax = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    t, n = Quantity(F.col("l_tax")), Quantity(F.col("l_quantity"))
+    s, neg = q.subtract(x, y), q.negative(x)
+    return tax.select(
+        "l_orderkey", "l_linenumber", r(s.value, 6).alias("s"), r(s.variance, 6).alias("sv"), r(neg.value, 6).alias("neg"), neg.variance.alias("negv"), r(abs(t - 0.04).value, 8).alias("ab"), r(q.reciprocal(q.values(x)).value, 10).alias("rec"),
+        r(q.log10(q.values(x)).value, 8).alias("lg"), r(q.nan_to_num(n / t, posinf=-1.0).value, 6).alias("num"), r(q.variances(x).value, 6).alias("var"), r(q.stddevs(x).value, 8).alias("dev"), q.to(q.values(x), dtype="int64").value.alias("whole"),
+    )
+
+
+@register("""SELECT l_orderkey, l_linenumber, round(acos(l_discount), 8) AS ac, round(atan(l_quantity), 8) AS at, round(cosh(l_discount), 8) AS ch, round(acosh(l_quantity), 8) AS ach, round(atanh(l_discount), 8) AS ath FROM lineitem""")
+def trigonometry_more(spark, sf):
+    n, d = Quantity(F.col("l_quantity")), Quantity(F.col("l_discount"))
+    found = {"ac": q.acos(d), "at": q.atan(n), "ch": q.cosh(d), "ach": q.acosh(n), "ath": q.atanh(d)}
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(r(v.value, 8).alias(k) for k, v in found.items()))
+
+
+@register("""SELECT l_orderkey, l_linenumber, l_quantity <= 10 AS le, l_quantity > 10 AS gt, l_quantity <= 10 AND l_tax > 0.03 AS both, l_quantity <= 10 OR l_tax > 0.03 AS either, l_tax = 0 AND l_quantity > 25 AS pos, l_tax = 0 AND l_quantity < 25 AS neg, l_tax = 0 AND l_quantity <> 25 AS inf,
+l_tax = 0 AND l_quantity = 25 AS nan, l_tax <> 0 AS fin FROM lineitem""")
+def comparisons_more(spark, sf):
+    n, t = Quantity(F.col("l_quantity")), Quantity(F.col("l_tax"))
+    odd = (n - 25.0) / t
+    found = {"le": n <= 10.0, "gt": n > 10.0, "both": (n <= 10.0) & (t > 0.03), "either": (n <= 10.0) | (t > 0.03), "pos": q.isposinf(odd), "neg": q.isneginf(odd), "inf": q.isinf(odd), "nan": q.isnan(odd), "fin": q.isfinite(odd)}
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(v.value.alias(k) for k, v in found.items()))
+
+
+def _with_nan(spark, sf) -> LabelledArray:
+    """Prices, NaN where there is no tax."""
+    return items(spark, sf).map(lambda x: q.where(Quantity(F.col("c_tax") > 0, None, None, "bool"), q.values(x), Quantity(F.lit(float("nan")), None, x.unit)))
+
+
+@register("""SELECT l_returnflag AS flag, round(sum(l_extendedprice) FILTER (WHERE l_tax > 0), 2) AS total, round(avg(l_extendedprice) FILTER (WHERE l_tax > 0), 4) AS mean, min(l_extendedprice) FILTER (WHERE l_tax > 0) AS lowest, max(l_extendedprice) FILTER (WHERE l_tax > 0) AS highest FROM lineitem GROUP BY 1""")
+def groupby_nan(spark, sf):
+    g = _with_nan(spark, sf).groupby("flag")
+    parts = [g.nansum().df.select(F.col("c_flag").alias("flag"), r("value", 2).alias("total")), g.nanmean().df.select(F.col("c_flag").alias("flag"), r("value").alias("mean")), g.nanmin().df.select(F.col("c_flag").alias("flag"), F.col("value").alias("lowest")), g.nanmax().df.select(F.col("c_flag").alias("flag"), F.col("value").alias("highest"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "flag")
+    return out
+
+
+@register("SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+def groupby_concat(spark, sf):
+    b = items(spark, sf).map(q.values).groupby("flag").concat()
+    return b.size().df.join(b.sum().df.select(F.col("flag"), F.col("c_flag"), r("value", 2).alias("total")), "flag").select(F.col("c_flag").alias("flag"), F.col("value").alias("n"), "total")
+
+
+@register(f"""SELECT b.b AS bin, round(coalesce(sum(l_extendedprice) FILTER (WHERE l_tax > 0), 0), 2) AS total, CASE WHEN count(l_tax) FILTER (WHERE l_tax > 0) = 0 THEN 'nan'::DOUBLE ELSE round(avg(l_extendedprice) FILTER (WHERE l_tax > 0), 4) END AS mean,
+coalesce(min(l_extendedprice) FILTER (WHERE l_tax > 0), 1.7976931348623157e308) AS lowest, coalesce(max(l_extendedprice) FILTER (WHERE l_tax > 0), -1.7976931348623157e308) AS highest FROM {sql_bins(EDGES)} b LEFT JOIN lineitem ON l_quantity >= lo AND l_quantity < hi GROUP BY 1""")
+def bins_nan(spark, sf):
+    found = _with_nan(spark, sf).bin(quantity=EDGES).reduce_many(total="nansum", mean="nanmean", lowest="nanmin", highest="nanmax")
+    return found.select(F.col("quantity").alias("bin"), r("total", 2).alias("total"), F.round("mean", 4).alias("mean"), "lowest", "highest")
+
+
+@register(f"SELECT b.b AS bin, coalesce(bool_and(l_tax > 0.01), true) AS every, coalesce(bool_or(l_tax > 0.07), false) AS some FROM {sql_bins(EDGES)} b LEFT JOIN lineitem ON l_quantity >= lo AND l_quantity < hi GROUP BY 1")
+def bins_all_any(spark, sf):
+    a = items(spark, sf)
+    every, some = (a.assign_data(a.coord("tax") > n).bin(quantity=EDGES) for n in (0.01, 0.07))
+    return every.all().df.select(F.col("quantity").alias("bin"), F.col("value").alias("every")).join(some.any().df.select(F.col("quantity").alias("bin"), F.col("value").alias("some")), "bin")
+
+
+@register(f"SELECT b.b AS bin, round(coalesce(sum(l_extendedprice / (b.b + 1)) FILTER (WHERE l_discount <= 0.05), 0), 2) AS total, count(l_tax) AS n FROM {sql_bins(EDGES)} b LEFT JOIN lineitem ON l_quantity >= lo AND l_quantity < hi GROUP BY 1")
+def bins_edit(spark, sf):
+    weights = creation.arange(spark, "quantity", 1, 7, dtype="float64").assign_coords(quantity=Coord(("quantity",), ONE, "float64", np.array(EDGES)))
+    b = items(spark, sf).map(q.values).bin(quantity=EDGES).assign_masks(high=Quantity(F.col("c_discount") > 0.05, None, None, "bool")).assign_coords(copy=Quantity(F.col("c_tax"))).drop_coords("tax")
+    b = lookup(weights, "quantity").scale(b, divide=True)
+    total = b.sum().df.select(F.col("quantity").alias("bin"), r("value", 2).alias("total"))
+    return total.join(b.drop_masks("high").size().df.select(F.col("quantity").alias("bin"), F.col("value").alias("n")), "bin")
+
+
+@register("""SELECT round(var_pop(l_extendedprice) FILTER (WHERE l_tax > 0), 2) AS var0, round(stddev_samp(l_extendedprice) FILTER (WHERE l_tax > 0), 4) AS std1, max(l_extendedprice) FILTER (WHERE l_tax > 0) AS highest, bool_and(l_quantity > 0) AS every, bool_or(l_quantity > 50) AS some FROM lineitem""")
+def reduce_more(spark, sf):
+    a, b = _with_nan(spark, sf), items(spark, sf)
+    over = lambda n: b.assign_data(b.coord("quantity") > n)
+    one = lambda x, n, d=None: x.df.select((F.col("value") if d is None else r("value", d)).alias(n))
+    out = one(a.nanvar(ddof=0), "var0", 2)
+    for part in (one(a.nanstd(ddof=1), "std1", 4), one(a.nanmax(), "highest"), one(over(0.0).all(), "every"), one(over(50.0).any(), "some")):
+        out = out.join(part)  # single rows
+    return out
+
+
+@register("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, round(o_totalprice / 2, 4) AS lowest, o_totalprice * 2 AS highest, round(o_totalprice * 3.5, 3) AS total, round(o_totalprice * 3.5 / 3, 4) AS mean FROM orders""")
+def reduce_across_series(spark, sf):
+    a = order_series(spark, sf)
+    three = [a, a * 0.5, a * 2.0]
+    parts = [reduce_objects(three, op).df.select(F.col("order").alias("pos"), (r("value", d) if d else F.col("value")).alias(n)) for op, n, d in (("nanmin", "lowest", 4), ("nanmax", "highest", 0), ("nansum", "total", 3), ("nanmean", "mean", 4))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "pos")
+    return out
+
+
+@register("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_totalprice > 100000 AND o_totalprice > 200000 AS every, o_totalprice > 100000 OR o_totalprice > 200000 AS some FROM orders")
+def reduce_across_flags(spark, sf):
+    a = order_series(spark, sf)
+    flags = [a.map(lambda x, n=n: q.greater(x, Quantity(F.lit(n), None, x.unit))) for n in (100000.0, 200000.0)]
+    every, some = reduce_objects(flags, "all").df, reduce_objects(flags, "any").df
+    return every.select(F.col("order").alias("pos"), F.col("value").alias("every")).join(some.select(F.col("order").alias("pos"), F.col("value").alias("some")), "pos")
+
+
+@register("""WITH t AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, o_totalprice AS v FROM orders) SELECT p // 10 AS a, p % 10 AS b, v, p AS flat, p % 10 = 3 AS third FROM t""")
+def fold_series(spark, sf):
+    a = order_series(spark, sf).fold("order", a=-1, b=10)
+    third = a["b", 3].rename_dims(a="x").df.select(F.col("x").alias("a"), F.lit(3).cast("long").alias("b"), F.lit(True).alias("third"))
+    flat = a.transpose(["b", "a"]).transpose(["a", "b"]).flatten("flat").df.select("flat", F.expr("flat div 10").alias("a"), (F.col("flat") % 10).alias("b"))
+    return a.df.select("a", "b", F.col("value").alias("v")).join(flat, ["a", "b"]).join(third, ["a", "b"], "left").select("a", "b", "v", "flat", F.coalesce("third", F.lit(False)).alias("third"))
+
+
+@register("""WITH t AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, o_orderkey AS k, count(*) OVER () AS n FROM orders) SELECT 0::BIGINT AS which, k FROM t WHERE p = 7 UNION ALL SELECT 1, k FROM t WHERE p = n - 1 UNION ALL SELECT 2, k FROM t WHERE k = (SELECT max(k) FROM t)""")
+def slice_points(spark, sf):
+    a = order_series(spark, sf)
+    last = a.df.agg(F.max("c_key")).first()[0]
+    found = [a["order", 7], a["order", -1], a.assign_coords(order=a.coord("key"))["order", (last, None)]]
+    out = None
+    for k, x in enumerate(found):
+        part = x.df.select(F.lit(k).cast("long").alias("which"), F.col("c_key").alias("k"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@register("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, CASE WHEN pos >= 5 AND pos < 9 THEN 1.5 ELSE o_totalprice END AS v FROM orders".replace("pos >= 5", "row_number() OVER (ORDER BY o_orderkey) - 1 >= 5").replace("pos < 9", "row_number() OVER (ORDER BY o_orderkey) - 1 < 9"))
+def set_slice(spark, sf):
+    return order_series(spark, sf).set_slice("order", 5, 9, 1.5).df.select(F.col("order").alias("pos"), F.col("value").alias("v"))
+
+
+@register("SELECT c.k AS copy, row_number() OVER (PARTITION BY c.k ORDER BY o_orderkey) - 1 AS pos, o_totalprice AS v FROM orders CROSS JOIN (SELECT unnest(range(3)) AS k) c")
+def broadcast_series(spark, sf):
+    return order_series(spark, sf).broadcast(copy=3).df.select("copy", F.col("order").alias("pos"), F.col("value").alias("v"))
+
+
+@register("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS key FROM orders WHERE o_custkey % 2 = 0")
+def hide_masked_rows(spark, sf):
+    from ..operators.binning import hide_masked
+
+    a = order_series(spark, sf)
+    a = a.assign_masks(odd=Quantity(F.col("c_customer") % 2 != 0, None, None, "bool"))
+    return hide_masked(a, "order").df.select(F.col("order").alias("pos"), F.col("c_key").alias("key"))
+
+
+@register("""SELECT p AS pos, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one, 7.5::DOUBLE AS same, round(10 ** (p / 4.0::DOUBLE), 8) AS logs, round(2 * 8 ** (p / 8.0::DOUBLE), 8) AS geos, p * 86400 AS days FROM (SELECT unnest(range(9)) AS p)""")
+def create_more(spark, sf):
+    size = {"pos": 9}
+    parts = {
+        "zero": creation.zeros(spark, size), "one": creation.ones_like(creation.zeros(spark, size)), "same": creation.full_like(creation.empty(spark, size), 7.5), "logs": creation.logspace(spark, "pos", 0, 2, 9),
+        "geos": creation.geomspace(spark, "pos", 2.0, 16.0, 9), "days": creation.datetimes(spark, "pos", [f"1970-01-{k + 1:02d}" for k in range(9)]),
+    }
+    out = None
+    for n, x in parts.items():
+        part = x.df.select("pos", (r("value", 8) if n in ("logs", "geos") else F.col("value")).alias(n))
+        out = part if out is None else out.join(part, "pos")
+    return out
+
+
+@register("""WITH t AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
+SELECT vec_id, round(x + 1, 6) AS tx, round(2 * x, 6) AS sx, round(y + x, 6) AS lx, round(y + x + 5, 6) AS ax, round(x, 6) AS back, round(-y, 6) + 0.0 AS turned, round(0.5, 6) AS angle FROM t""".replace("round(0.5, 6) AS angle", "0.5::DOUBLE AS angle"))
+def vectors_more(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", spatial.as_vectors(*(F.get("embedding", F.lit(k)) for k in range(3))).alias("v"))
+    v, one = F.col("v"), spatial.vector(1, 0, 0)
+    linear = spatial.linear_transform([[1, 1, 0], [0, 1, 0], [0, 0, 2]])
+    affine = spatial.affine_transform(linear, spatial.vector(5, 0, 0))
+    half = float(np.sqrt(0.5))
+    turn = spatial.rotation(F.lit(0.0), F.lit(0.0), F.lit(half), F.lit(half))
+    angle = spatial.rotation_as_rotvec(spatial.rotations_from_rotvecs(spatial.vector(0, 0.5, 0)))["y"]
+    found = {
+        "tx": spatial.translated(v, one)["x"], "sx": spatial.transformed(spatial.scaling_from_vector(spatial.vector(2, 1, 1)), v)["x"], "lx": spatial.transformed(linear, v)["x"], "ax": spatial.affine_transformed(affine, v)["x"],
+        "back": spatial.affine_transformed(spatial.affine_inverse(affine), spatial.affine_transformed(affine, v))["x"], "turned": spatial.rotated(turn, v)["x"], "angle": angle,
+    }
+    return e.select("vec_id", *(r(c, 6).alias(n) for n, c in found.items()))
+
+
+# -- sizes beyond a few bins ------------------------------------------------------------------------------------------------------------
+
+
+_MANY = np.round(900 + 100_000 * np.linspace(0, 1, 20_001) ** 1.5, 3)
+
+
+@register("""WITH e AS (SELECT k, round(900 + 100000 * power(k / 20000.0::DOUBLE, 1.5), 3) AS edge FROM (SELECT unnest(range(20001)) AS k)), b AS (SELECT k AS bin, edge AS lo, lead(edge) OVER (ORDER BY k) AS hi FROM e)
+SELECT bin, count(*) AS n FROM lineitem ASOF JOIN (SELECT * FROM b) b ON l_extendedprice >= lo WHERE hi IS NOT NULL AND l_extendedprice < hi GROUP BY 1""")
+def hist_many_uneven_bins(spark, sf):
+    a = table(read(spark, sf, "lineitem"), coords={"price": (F.col("l_extendedprice"), "counts")})
+    return a.bin(price=_MANY).size().df.where("value > 0").select(F.col("price").alias("bin"), F.col("value").alias("n"))
+
+
+@register("SELECT floor(l_extendedprice / 0.25)::BIGINT AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice >= 0 AND l_extendedprice < 131072 GROUP BY 1")
+def hist_many_even_bins(spark, sf):
+    a = table(read(spark, sf, "lineitem"), coords={"price": (F.col("l_extendedprice"), "counts")})
+    return a.bin(price=np.linspace(0, 131_072, 2**19 + 1)).size().df.where("value > 0").select(F.col("price").alias("bin"), F.col("value").alias("n"))
+
+
+@register("SELECT l_orderkey AS key, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+def group_many_labels(spark, sf):
+    a = table(read(spark, sf, "lineitem"), value=F.col("l_extendedprice"), coords={"key": (F.col("l_orderkey"), None)})
+    b = a.group(key=None)
+    return b.sum().df.join(b.size().df.select("key", F.col("value").alias("n")), "key").select(F.col("c_key").alias("key"), "n", r("value", 2).alias("total"))
+
+
+@register("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice < 125000 THEN floor(l_extendedprice / 0.125)::DOUBLE * 2 ELSE -1 END AS v FROM lineitem")
+def lookup_million_entries(spark, sf):
+    n = 1_000_000
+    entries = creation.arange(spark, "price", 0, 2 * n, 2, dtype="float64").assign_coords(price=Coord(("price",), ONE, "float64", np.arange(n + 1) * 0.125))
+    found = lookup(entries, "price", fill_value=-1.0)[Quantity(F.col("l_extendedprice"))]
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", found.value.alias("v"))
+
+
+@register("SELECT event_id, floor(value)::BIGINT AS whole, ceil(value)::BIGINT AS up FROM events WHERE value IS NOT NULL")
+def array_methods(spark, sf):
+    a = table(read(spark, sf, "events").where("value IS NOT NULL"), value=F.col("value"), coords={"id": (F.col("event_id"), None)})
+    down, up = DataGroup({"a": a}).floor()["a"], a.ceil()
+    return down.df.select(F.col("c_id").alias("event_id"), F.col("value").cast("long").alias("whole")).join(up.df.select(F.col("c_id").alias("event_id"), F.col("value").cast("long").alias("up")), "event_id")
+
+
+@register("SELECT l_orderkey, l_linenumber, round(2 * l_extendedprice, 2) AS twice FROM lineitem")
+def same_frame_arithmetic(spark, sf):
+    a = table(read(spark, sf, "lineitem"), value=F.col("l_extendedprice"), coords={"key": (F.col("l_orderkey"), None), "line": (F.col("l_linenumber"), None)})
+    return (a + a).df.select(F.col("c_key").alias("l_orderkey"), F.col("c_line").alias("l_linenumber"), r("value", 2).alias("twice"))

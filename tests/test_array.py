@@ -14,7 +14,7 @@ from lattica.functions import quantity as q
 from lattica.functions.quantity import DTypeError, Quantity, VariancesError
 from lattica.operators import udf
 from lattica.operators.array import BinEdgeError, Coord, CoordError, DimensionError, LabelledArray, concat, from_numpy, table
-from lattica.operators.binning import bin, group, groupby, hist, rebin
+from lattica.operators.binning import bin, bin_index, group, groupby, hist, rebin
 from lattica.operators.coords import Graph, transform_coords
 from lattica.operators.groups import DataGroup, Dataset, merge
 from lattica.operators.lookup import asof_join, lookup
@@ -78,10 +78,10 @@ def test_masks(spark):
     assert values(s) == [3.0, 12.0] and s.masks == {"m": ("x",)}
 
 
-def test_example_groupby_means(spark):
-    a = from_numpy(spark, ["z", "x"], [[1.0, 2, 3], [1, 2, 3]], [[4.0, 5, 6], [4, 5, 6]], "m", {"labels2": (("x",), [1.0, 1.0, 3.0], "m")})
-    g = groupby(a, "labels2").mean().transpose(["z", "labels2"])
-    assert values(g, "value", "variance") == [(1.5, 9 / 4), (3.0, 6.0), (1.5, 9 / 4), (3.0, 6.0)]
+def test_groupby_means_in_each_slice(spark):
+    a = from_numpy(spark, ["run", "det"], [[10.0, 4.0, 7.0, 2.0], [0.0, 8.0, 6.0, 1.0]], [[1.0, 3.0, 2.0, 8.0], [5.0, 1.0, 9.0, 4.0]], "m", {"bank": (("det",), [8.0, 5.0, 8.0, 8.0], "m")})
+    g = groupby(a, "bank").mean().transpose(["run", "bank"])
+    assert values(g, "value", "variance") == [(4.0, 3.0), (19 / 3, 11 / 9), (8.0, 1.0), (7 / 3, 2.0)]
 
 
 def test_units_and_variances_are_checked(spark):
@@ -229,3 +229,73 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted((r["bin"], r["value"]) for r in spark.table("binned").collect()) == [(0, 1.0), (1, 2.0)]
+
+
+def test_rows_without_order_do_not_meet(spark):
+    frame = spark.range(50).select((F.col("id") * 2.0).alias("v"))
+    a, b = table(frame, value=F.col("v")), table(frame, value=F.col("v"))
+    with pytest.raises(DimensionError):
+        a + b
+    for call in (lambda: a["row", 3], lambda: a["row", 1:4], lambda: a.midpoints(), lambda: a.fold("row", x=5, y=-1), lambda: a.cumsum()):
+        with pytest.raises(DimensionError):
+            call()
+    assert (a + a).df.agg(F.count(F.lit(1)), F.sum("value")).first() == (50, 4 * sum(range(50)))
+    assert (a * 3.0).df.count() == 50 and concat([a, b], "row").df.count() == 100
+
+
+def test_ordered_tables_have_sizes(spark):
+    frame = spark.range(60).select((59 - F.col("id")).alias("k"), F.col("id").alias("v"))
+    a = table(frame, value=F.col("v").cast("double"), coords={"k": (F.col("k"), None)}, order=[F.col("k")])
+    assert a.sizes == {"row": 60} and a["row", 3].df.first()["value"] == 56 and a["row", -1].df.first()["value"] == 0
+    assert a["row", 2:5].sizes == {"row": 3} and a.midpoints().df.count() == 59 and a.fold("row", x=6, y=10).sizes == {"x": 6, "y": 10}
+    both = concat([a, a], "row")
+    assert both.sizes == {"row": 120} and both.df.select("row").distinct().count() == 120 and (a + a * 1.0).df.count() == 60
+
+
+def test_csv_items_add_row_by_row(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a [m],b [m],c [s]\n" + "\n".join(f"{k},{100 * k},{k}" for k in range(50)) + "\n")
+    d = io.load_csv(spark, str(tmp_path / "t.csv"), data_columns=["a", "b"])
+    found = d["a"] + d["b"]
+    assert found.sizes == {"row": 50} and sorted(x.value for x in found.df.collect()) == [101 * k for k in range(50)]
+    assert list(found.coords) == ["c"] and d["a"].unit == found.unit
+
+
+def test_labels_beyond_the_bound_are_an_error(spark, monkeypatch):
+    from lattica.operators import binning
+
+    a = table(spark.range(30), coords={"k": (F.col("id"), None)})
+    assert binning.group(a, k=None).size().df.count() == 30
+    monkeypatch.setattr(binning, "MOST_CELLS", 20)
+    with pytest.raises(DimensionError):
+        binning.group(a, k=None)
+    monkeypatch.setattr(binning, "MOST_CELLS", 1000)
+    monkeypatch.setattr(binning, "BROADCAST_BYTES", 0)  # labels by shuffle
+    names = table(spark.range(200).select(F.concat(F.lit("n"), "id").alias("n")), coords={"n": (F.col("n"), None)})
+    assert {(x.c_n, x.value) for x in binning.group(names, n=None).size().df.join(binning.group(names, n=None).sum().df.select("n", "c_n"), "n").collect()} == {(f"n{k}", 1) for k in range(200)}
+
+
+def test_many_edges_against_searchsorted(spark):
+    rng = np.random.default_rng(6)
+    for edges in (np.unique(np.round(rng.lognormal(0, 2, 3000), 4)), np.linspace(-1, 3, 70_001), np.arange(0, 5000, 3), np.array([0.0, 0.1, 0.2, 0.3])):
+        x = np.concatenate([rng.choice(edges, 500), rng.uniform(edges[0] - 1, edges[-1] + 1, 2000), [edges[0], edges[-1], np.nan, np.inf, -np.inf], np.nextafter(edges[:300], -np.inf)]).astype(float)
+        got = [r.b for r in spark.createDataFrame(pd.DataFrame({"x": x})).coalesce(1).select(bin_index(F.col("x"), edges).alias("b")).collect()]
+        want = np.searchsorted(edges, x, side="right") - 1
+        assert got == [int(w) if edges[0] <= v < edges[-1] else None for v, w in zip(x, want, strict=True)]
+
+
+def test_dataset_items(spark):
+    a = from_numpy(spark, ["x"], np.arange(3.0))
+    d = Dataset({"a": a})
+    d["b"] = a * 2.0
+    d.update({"c": a})
+    assert list(d) == ["a", "b", "c"] and d.pop("c") is a and len(d) == 2
+    del d["b"]
+    with pytest.raises(DimensionError):
+        d["wrong"] = from_numpy(spark, ["y"], np.arange(2.0))
+    d.clear()
+    assert len(d) == 0
+
+
+def test_reversed_operators(spark):
+    a = from_numpy(spark, ["x"], np.array([1.0, 2.0, 4.0]))
+    assert values(7.0 // a) == [7.0, 3.0, 1.0] and values(7.0 % a) == [0.0, 1.0, 3.0] and values(3.0 ** a) == [3.0, 9.0, 81.0]
