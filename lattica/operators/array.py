@@ -21,6 +21,8 @@ from ..units import ONE, Unit, UnitError, unit_of
 from . import reducers
 
 
+#: Positions that one task of a running sum or of neighbours takes.
+CHUNK = 1 << 17
 #: The size of a dim whose rows have no positions.
 UNKNOWN = -1
 
@@ -394,17 +396,15 @@ class LabelledArray:
 
     def is_sorted(self, name: str, dim: str, order: str = "ascending") -> bool:
         """Whether a coordinate is monotonic along ``dim`` in every slice."""
-        w = Window.partitionBy(*(d for d in self.dims if d != dim)).orderBy(dim)
-        before, now = F.lag(f"c_{name}").over(w), F.col(f"c_{name}")
-        wrong = before > now if order == "ascending" else before < now
-        return self.df.select(wrong.alias("wrong")).where("wrong").isEmpty()
+        now, after = F.col(f"c_{name}"), F.col("_next")
+        wrong = now > after if order == "ascending" else now < after
+        return with_next(self.df, dim, [d for d in self.dims if d != dim], f"c_{name}").where(wrong).isEmpty()
 
     def issorted(self, dim: str, order: str = "ascending") -> LabelledArray:
         rest = tuple(d for d in self.dims if d != dim)
-        w = Window.partitionBy(*rest).orderBy(dim)
-        before, now = F.lag("value").over(w), F.col("value")
-        fine = F.coalesce(before <= now if order == "ascending" else before >= now, F.lit(True))
-        df = self.df.select(*rest, fine.alias("fine")).groupBy(*rest).agg(F.bool_and("fine").alias("value"))
+        now, after = F.col("value"), F.col("_next")
+        fine = F.coalesce(now <= after if order == "ascending" else now >= after, F.lit(True))
+        df = with_next(self.df, dim, rest, "value").select(*rest, fine.alias("fine")).groupBy(*rest).agg(F.bool_and("fine").alias("value"))
         return LabelledArray(df, rest, {d: self.sizes[d] for d in rest}, {}, {}, None, "bool")
 
     def allsorted(self, dim: str, order: str = "ascending") -> bool:
@@ -412,8 +412,7 @@ class LabelledArray:
 
     def islinspace(self, dim: str) -> bool:
         """Whether steps along ``dim`` are equal but for four units in the last place of the largest value."""
-        w = Window.partitionBy(*(d for d in self.dims if d != dim)).orderBy(dim)
-        steps = self.df.select((F.col("value") - F.lag("value").over(w)).alias("s"), F.abs("value").alias("v"))
+        steps = with_next(self.df, dim, [d for d in self.dims if d != dim], "value").select((F.col("_next") - F.col("value")).alias("s"), F.abs("value").alias("v"))
         r = steps.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("v").alias("v")).first()
         return r["lo"] is None or (r["lo"] != 0 and r["hi"] - r["lo"] <= 4 * np.finfo(float).eps * max(r["v"], 1e-300))
 
@@ -471,10 +470,10 @@ class LabelledArray:
             raise DimensionError("say along which dim")
         if self.has_variance:
             raise q.VariancesError("midpoints have no variances")
-        w = Window.partitionBy(*(d for d in self.dims if d != dim)).orderBy(dim)
-        after, now = F.lead("value").over(w), F.col("value")
+        after, now = F.col("_next"), F.col("value")
         value = now + F.floor((after - now) / 2) if self.dtype == "datetime" else (now + after) / 2
-        kept = self.df.withColumn("_mid", value).where(F.col(dim) < self.size_of(dim) - 1)
+        near = with_next(self.df, dim, [d for d in self.dims if d != dim], "value")
+        kept = near.withColumn("_mid", value).where(F.col(dim) < self.size_of(dim) - 1)
         kept = kept.select(*self.dims, F.col("_mid").alias("value"))
         return LabelledArray(kept, self.dims, {**self.sizes, dim: max(0, self.sizes[dim] - 1)}, {}, {}, self.unit, "datetime" if self.dtype == "datetime" else "float64")
 
@@ -503,9 +502,24 @@ class LabelledArray:
         order = [dim] if dim else list(self.dims)
         for d in order:
             self.size_of(d)
-        w = Window.partitionBy(*(d for d in self.dims if d not in order)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if mode == "inclusive" else -1)
-        total = F.coalesce(F.sum("value").over(w), F.lit(0)).cast("double" if self.dtype.startswith("float") else "long")
-        return self._with(Quantity(total, None, self.unit, self.dtype))
+        rest = [d for d in self.dims if d not in order]
+        flat = F.lit(0).cast("long")
+        for d in order:
+            flat = flat * self.sizes[d] + F.col(d)
+        df = self.df.withColumn("_at", flat).withColumn("_chunk", F.call_function("div", F.col("_at"), F.lit(CHUNK).cast("long")))
+        zero = F.lit(0).cast("double" if self.dtype.startswith("float") else "long")
+        before = Window.partitionBy(*rest).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = df.groupBy(*rest, "_chunk").agg(F.sum("value").alias("_s")).select(*rest, "_chunk", F.coalesce(F.sum("_s").over(before), zero).alias("_ahead"))  # a row for each chunk
+        inside = Window.partitionBy(*rest, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if mode == "inclusive" else -1)
+        df = df.withColumn("_own", F.coalesce(F.sum("value").over(inside), zero)).join(ahead, [*rest, "_chunk"])
+        total = (F.col("_own") + F.col("_ahead")).cast("double" if self.dtype.startswith("float") else "long")
+        return replace(self, df=df)._with(Quantity(total, None, self.unit, self.dtype))
+
+    def reduce_many(self, **ops: str | tuple[str, int]) -> DataFrame:
+        """One row with a column for each named reduction over all dims (``("var", 1)`` names its ddof), all in one pass."""
+        keep = fold_left(lambda a, b: a & b, [~F.col(f"m_{m}") for m in self.masks]) if self.masks else None
+        named = {n: (op, None) if isinstance(op, str) else op for n, op in ops.items()}
+        return self.df.agg(*(reducers.aggregate(op, F.col("value"), None, keep, self.dtype, ddof)[0].alias(n) for n, (op, ddof) in named.items()))
 
 
 for _name in ("sum", "nansum", "mean", "nanmean", "min", "max", "nanmin", "nanmax", "all", "any", "median", "nanmedian"):
@@ -525,6 +539,17 @@ def _label(x: object, unit: Unit | None) -> float:
     return x
 
 
+def with_next(df: DataFrame, dim: str, rest: Iterable[str], column: str) -> DataFrame:
+    """``df`` with ``_next``, the ``column`` of the next position along ``dim``.
+
+    Positions go by chunks, whose first row is seen by the chunk before too, so a long dim is no single task.
+    """
+    chunk = F.call_function("div", F.col(dim), F.lit(CHUNK).cast("long"))
+    seen = F.when((F.col(dim) % CHUNK == 0) & (F.col(dim) > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    w = Window.partitionBy(*rest, "_chunk").orderBy(dim)
+    return df.withColumn("_chunk", F.explode(seen)).withColumn("_next", F.lead(column).over(w)).where(F.col("_chunk") == chunk).drop("_chunk")
+
+
 def renumbered(df: DataFrame, dim: str, order: list[Column] | None = None) -> DataFrame:
     """Positions 0, 1, ... in the given order, found without bringing all rows to one task.
 

@@ -232,12 +232,8 @@ def reduce_dim(spark, sf):
 
 @register("SELECT round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(var_samp(l_extendedprice), 2) AS var1, round(stddev_pop(l_extendedprice), 4) AS std0 FROM lineitem")
 def reduce_all(spark, sf):
-    a = items(spark, sf).map(q.values)
-    value = lambda x, n, d: x.df.select(r("value", d).alias(n))
-    out = value(a.sum(), "total", 2)
-    for x, n, d in ((a.mean(), "mean", 4), (a.median(), "median", 4), (a.var(ddof=1), "var1", 2), (a.std(ddof=0), "std0", 4)):
-        out = out.join(value(x, n, d))  # single rows
-    return out
+    found = items(spark, sf).map(q.values).reduce_many(total="sum", mean="mean", median="median", var1=("var", 1), std0=("std", 0))
+    return found.select(r("total", 2).alias("total"), r("mean").alias("mean"), r("median").alias("median"), r("var1", 2).alias("var1"), r("std0").alias("std0"))
 
 
 @register("SELECT round(sum(l_extendedprice) FILTER (WHERE l_discount <= 0.05), 2) AS total, round(avg(l_extendedprice) FILTER (WHERE l_discount <= 0.05), 4) AS mean, max(l_extendedprice) FILTER (WHERE l_discount <= 0.05) AS highest FROM lineitem")

@@ -299,3 +299,21 @@ def test_dataset_items(spark):
 def test_reversed_operators(spark):
     a = from_numpy(spark, ["x"], np.array([1.0, 2.0, 4.0]))
     assert values(7.0 // a) == [7.0, 3.0, 1.0] and values(7.0 % a) == [0.0, 1.0, 3.0] and values(3.0 ** a) == [3.0, 9.0, 81.0]
+
+
+def test_series_across_chunks(spark, monkeypatch):
+    from lattica.operators import array
+
+    monkeypatch.setattr(array, "CHUNK", 7)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-50, 50, (3, 40)).astype(float)
+    a = from_numpy(spark, ["g", "x"], x)
+    assert np.array_equal(a.cumsum("x").to_numpy(), x.cumsum(1)) and np.array_equal(a.cumsum().to_numpy(), x.cumsum().reshape(3, 40))
+    assert np.array_equal(a.cumsum("x", "exclusive").to_numpy(), x.cumsum(1) - x)
+    assert np.array_equal(a.midpoints("x").to_numpy(), (x[:, 1:] + x[:, :-1]) / 2)
+    for last in (6, 7, 20, 41):  # a fall at and inside chunk borders
+        y = np.arange(42.0)
+        y[last] = y[last - 1] - 0.5
+        assert not from_numpy(spark, ["x"], y).allsorted("x") and not from_numpy(spark, ["x"], y).islinspace("x")
+    assert from_numpy(spark, ["x"], np.arange(42.0)).allsorted("x") and from_numpy(spark, ["x"], np.arange(42.0)).islinspace("x")
+    assert from_numpy(spark, ["x"], np.arange(42)).cumsum().to_numpy().tolist() == np.arange(42).cumsum().tolist()
