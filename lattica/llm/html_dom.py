@@ -5,11 +5,13 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+MARKUP = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
 MARKED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-main="([01])"')
 #: Their content is never text of a page.
@@ -41,16 +43,88 @@ class Page(NamedTuple):
     label: list[int]  # -1 unknown
 
 
+class TagEnds:
+    """Where tags of a page end: at the first ``>`` outside quotes, or if quotes never close, at the first one.
+
+    Every question takes constant time or looks only at the tag, but for one pass over the page's quotes when they are mixed.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.at: list[int] | None = None
+
+    def find(self, start: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends before ``start``; -1 if the page has no more of them."""
+        first = self.source.find(">", start)
+        if first < 0:
+            return -1
+        double, single = self.source.count('"', start, first), self.source.count("'", start, first)
+        if not (double and single) and (double + single) % 2 == 0:
+            return first
+        if self.at is None:
+            self._prepare()
+        end = self.end[bisect_left(self.at, start)]
+        return first if end < 0 else end
+
+    def _prepare(self) -> None:
+        self.at = [m.start() for m in re.finditer("[>\"']", self.source)]
+        n = len(self.at)
+        self.end = [-1] * (n + 2)
+        after = {'"': -1, "'": -1}  # the next quote of each kind
+        for k in range(n - 1, -1, -1):
+            kind = self.source[self.at[k]]
+            if kind == ">":
+                self.end[k] = self.at[k]
+            else:
+                self.end[k] = self.end[after[kind] + 1] if after[kind] >= 0 else -1
+                after[kind] = k
+
+
+class Stack:
+    """Open elements, and where those of each tag lie among them."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["html"]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: int, tag: str) -> None:
+        self.places[tag].append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, place: int) -> None:
+        """Close everything from ``place`` up."""
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
+
+    def top(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def end_before(self, ended: set[str], upto: set[str]) -> None:
+        """Close the innermost of ``ended``, and paragraphs, that lie above the innermost of ``upto``."""
+        bound, found = self.top(upto), self.top(ended)
+        if found > bound:
+            self.cut(found)
+            return
+        open_paragraphs = self.places["p"]
+        lowest = bisect_right(open_paragraphs, bound)
+        if lowest < len(open_paragraphs):
+            self.cut(open_paragraphs[lowest])
+
+
 def parse(source: str) -> Page:
+    """The page's blocks and runs of text; every step looks only at what it consumes, so hostile markup costs no more than its length."""
     page = Page(["html"], [0], [-1], [[]], [0], [-1])
-    stack, run, in_link, pos, end = [0], [], False, 0, len(source)
+    stack, run, in_link, pos, end = Stack(), [], False, 0, len(source)
+    ends, missing = TagEnds(source), set()
 
     def flush() -> None:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
-                node = stack[-1]
+                node = stack.nodes[-1]
                 page.tag.append("#text")
                 page.hint.append(0)
                 page.parent.append(node)
@@ -61,7 +135,13 @@ def parse(source: str) -> Page:
 
     linked = [0]
     while pos < end:
-        m = TOKEN.search(source, pos)
+        m = MARKUP.search(source, pos)
+        close = -1
+        if m and m[0] != "<!--":
+            close = ends.find(m.end()) if m[2] else source.find(">", m.end())
+            if close < 0:  # no tag ends from here on, but a comment may begin
+                at = source.find("<!--", m.start())
+                m = MARKUP.match(source, at) if at >= 0 else None
         text = source[pos : m.start() if m else end]
         if text:
             run.append(text)
@@ -69,16 +149,23 @@ def parse(source: str) -> Page:
                 linked[0] += len(text)
         if not m:
             break
-        pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+        if m[0] == "<!--":
+            close = source.find("-->", m.end())
+            pos = close + 3 if close >= 0 else end
+            continue
+        attributes, pos = source[m.end() : close], close + 1
+        name = (m[2] or "").lower()
         if not name:
             continue
-        closing = bool(m[1] or m[4])
+        closing = bool(m[1])
         if name in SKIPPED:
             if not closing and not source.startswith("/>", pos - 2):
-                stop = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, pos)
+                stop = None if name in missing else re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, pos)
                 if name == "head" and not stop:
-                    stop = re.compile(r"(?=<body)", re.I).search(source, pos)
+                    missing.add(name)
+                    stop = None if "body" in missing else re.compile(r"(?=<body)", re.I).search(source, pos)
+                    if not stop:
+                        missing.add("body")
                 pos = stop.end() if stop else (pos if name == "head" else end)
             continue
         if name not in BLOCKS:
@@ -88,25 +175,14 @@ def parse(source: str) -> Page:
                 run.append("\n")
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == name:
-                    flush()
-                    del stack[k:]
-                    break
+            if stack.places[name]:
+                flush()
+                stack.cut(stack.places[name][-1])
             continue
         flush()
-        if name in ("html", "body") and len(stack) > 1 and any(page.tag[x] == name for x in stack):
+        if name in ("html", "body") and len(stack.nodes) > 1 and (name == "html" or stack.places[name]):
             continue
-        ended, upto = ENDS.get(name, ({"p"}, {"td", "th"}))
-        for k in range(len(stack) - 1, 0, -1):
-            tag = page.tag[stack[k]]
-            if tag in ended or tag == "p":
-                del stack[k:]
-                if tag in ended:
-                    break
-            elif tag in upto:
-                break
-        attributes = m[3] or m[6] or ""
+        stack.end_before(*ENDS.get(name, ({"p"}, {"td", "th"})))
         hint = 0
         if "=" in attributes:
             said = " ".join(a or b or c for a, b, c in MARKED.findall(attributes)).lower().replace("_", "-")
@@ -118,12 +194,12 @@ def parse(source: str) -> Page:
             continue
         page.tag.append(name)
         page.hint.append(hint)
-        page.parent.append(stack[-1])
+        page.parent.append(stack.nodes[-1])
         page.texts.append([])
         page.links.append(0)
         known = LABEL.search(attributes)
-        page.label.append(int(known[1]) if known else page.label[stack[-1]])
-        stack.append(len(page.tag) - 1)
+        page.label.append(int(known[1]) if known else page.label[stack.nodes[-1]])
+        stack.push(len(page.tag) - 1, name)
     flush()
     return page
 
