@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -77,6 +78,41 @@ def wider(schema: T.StructType, added: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(added).fields])
 
 
+#: How to forget what a worker remembers for an operator, by the name of what is remembered.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[name] = forget
+
+
+def forget_others(name: str) -> None:
+    for other, forget in _REMEMBERED.items():
+        if other != name:
+            forget()
+
+
+def give_back() -> None:
+    """Hand memory that was freed, but is kept for later by Arrow and by the C library, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembered: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, in a worker that outlives its tasks: of the tables that operators remember only ``remembered`` stays, and memory freed by the task goes back when it ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(remembered)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8, wider
+from .common import slices, table, tidy, utf8, wider
 
 CHUNK_BYTES, LEVEL, DICTIONARY_BYTES = 256, 3, 110 << 10
 #: Fitted on at most so many labelled rows of each class (those with the smallest hash of their id), a longer text by about so many bytes in pieces spread over all of it; every second row goes into a dictionary, the others calibrate.
@@ -127,7 +127,7 @@ def classify(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFra
             score = scorer.score(utf8(part.column(part.schema.get_field_index("text")))).round(9)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= keep_at).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return rest.mapInArrow(run, wider(rest.schema, "score double, predicted int"))
+    return rest.mapInArrow(tidy(run), wider(rest.schema, "score double, predicted int"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

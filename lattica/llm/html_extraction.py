@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import boosting
-from .common import slices, strings, table, wider
+from .common import slices, strings, table, tidy, wider
 from .html_dom import Page, decode, features, matrix, parse
 from .page_samples import pages
 
@@ -72,7 +72,7 @@ def extract_text(docs: DataFrame, html_column: str = "html") -> DataFrame:
             found = list(main_texts(shared.value, strings(part.column(part.schema.get_field_index(html_column)))))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*part.schema.names, "text", "n_chars"])
 
-    return rest.mapInArrow(run, wider(rest.schema, "text string, n_chars long"))
+    return rest.mapInArrow(tidy(run), wider(rest.schema, "text string, n_chars long"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

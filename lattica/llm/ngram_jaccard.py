@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, slices, some_of, table, utf8
+from .common import checkpointed, mix64, slices, some_of, table, tidy, utf8
 from .components import connected_components
 from .words import windows, word_hashes
 
@@ -60,7 +60,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(x, n) for x in utf8(part.column(0))]).view(np.int64))], ["h"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).select("text").mapInArrow(run, "h long")
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).select("text").mapInArrow(tidy(run, "words"), "h long")
     rows = some.groupBy("h").count().where(F.col("count") >= ORDER_LEAST).orderBy(F.desc("count"), "h").limit(ORDER_MOST).select("h")
     found = np.array([x.h for x in rows.collect()], dtype=np.int64)
     return np.sort(found.view(np.uint64))
@@ -87,7 +87,7 @@ def _features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ["doc_id", "n", "s1", "s2", "p1", "p2", *BITS, "prefix"],
             )
 
-    return docs.mapInArrow(run, f"doc_id long, n long, s1 long, s2 long, p1 long, p2 long, {', '.join(f'{b} long' for b in BITS)}, prefix array<long>")
+    return docs.mapInArrow(tidy(run, "words"), f"doc_id long, n long, s1 long, s2 long, p1 long, p2 long, {', '.join(f'{b} long' for b in BITS)}, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool, n: int, percent: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool, n: int, percent
                 keep.append(linked(grams, shingles(y, n), percent))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return both.mapInArrow(tidy(run, "words"), "u long, v long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:

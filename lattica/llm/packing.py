@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .token_counts import encoder, tokenizer_path
+from .common import slices, table, tidy
+from .token_counts import BLOCK, encoder, tokenizer_path
 
 SEQUENCE_TOKENS = 4096
 #: Tokens that are packed together; a task holds no more ids than this and one document more.
@@ -109,7 +109,7 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
             keys, ids, held = [], [], 0
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BLOCK):
             arrow_id = part.column(0).type
             flat, sizes = encode(part.column("text"))
             ends = np.cumsum(sizes) + np.arange(1, len(sizes) + 1)
@@ -126,7 +126,7 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
         if keys:
             yield flush()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, "encoders"), schema)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

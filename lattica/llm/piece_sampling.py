@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import mix64, slices, table, utf8, wider
+from .common import mix64, remembers, slices, table, tidy, utf8, wider
 from .token_counts import tokenizer_path
 
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -31,6 +31,7 @@ ALPHA = 1.0
 BYTE_WEIGHT = -12.0
 
 _LATTICES: dict[tuple[str, float], Lattices] = {}
+remembers("lattices", _LATTICES.clear)
 
 
 HASHED = np.uint64(0x9E3779B97F4A7C15)
@@ -230,7 +231,7 @@ def sample_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: fl
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32))))
             yield pa.RecordBatch.from_arrays([*part.columns, *out], [*part.schema.names, *names])
 
-    return rest.mapInArrow(run, wider(rest.schema, added))
+    return rest.mapInArrow(tidy(run, "lattices"), wider(rest.schema, added))
 
 
 def decode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", ids_column: str = "ids") -> DataFrame:
@@ -244,7 +245,7 @@ def decode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", ids_colum
             texts = [None if x is None else decoder.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
-    return rest.mapInArrow(run, wider(rest.schema, "decoded string"))
+    return rest.mapInArrow(tidy(run, "lattices"), wider(rest.schema, "decoded string"))
 
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

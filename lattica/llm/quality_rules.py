@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, checkpointed, slices, table, utf8, wider
+from .common import BLOCK_BYTES, checkpointed, slices, table, tidy, utf8, wider
 from .words import windows, word_hashes
 
 #: Buckets of the hashed n-grams: bounds the model that executors get, whatever the corpus holds.
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, trusted: DataFrame | list[int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
     marked = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id", "left")
-    counts = marked.select("known", "text").mapInArrow(count, "bucket long, raw long, good long")
+    counts = marked.select("known", "text").mapInArrow(tidy(count, "words"), "bucket long, raw long, good long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
     raw, good = np.ones(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, g in rows:
@@ -156,7 +156,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | list[int], threshold: fl
             columns = [pa.array(x) for x in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *added])
 
-    return rest.mapInArrow(score, wider(rest.schema, ADDED))
+    return rest.mapInArrow(tidy(score, "words"), wider(rest.schema, ADDED))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

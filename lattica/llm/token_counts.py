@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, slices, strings, table
+from .common import Recent, remembers, slices, strings, table, tidy
 
 #: Letters that stand for themselves in every normal form, then marks that open no contraction and no special string.
 PLAIN = r"^(?P<stem>[a-zA-ZÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=?@\[-`{|}~]*)$"
@@ -30,7 +30,11 @@ STRETCH_CHARS = 1 << 20
 #: So many plain words are encoded as one text.
 JOINED = 64
 
+#: Bytes of text that are cut into words at once.
+BLOCK = 2 << 20
+
 _ENCODERS: dict[tuple[str, bool], SegmentEncoder] = {}
+remembers("encoders", _ENCODERS.clear)
 
 
 class SegmentEncoder:
@@ -198,12 +202,12 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = encoder(tokenizer_path(tokenizer), lengths_only=True)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", BLOCK):
             text = part.column("text")
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(counter.count(text))], ["id", "n_bytes", "n_tokens"])
 
-    out = picked.mapInArrow(run, f"id {ids.simpleString()}, n_bytes long, n_tokens long")
+    out = picked.mapInArrow(tidy(run, "encoders"), f"id {ids.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import mix64
+from .common import mix64, remembers
 
 _HASHES: dict[bytes, int] = {}
 #: Word hashes that a worker remembers, and the longest of their words: some 30 MB at most.
 REMEMBERED, LONGEST = 150_000, 64
 
+remembers("words", _HASHES.clear)
+
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
