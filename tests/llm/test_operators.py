@@ -634,3 +634,19 @@ def test_pipeline_stages_one_by_one(spark, odd, none, tmp_path):
                     assert {(i, tuple(t for _, ids in sorted(v) for t in ids)) for i, v in pieces.items()} == want
                 assert sum(x.length for x in rows) == sum(len(ids) for _, ids in want) or start is extra
             docs = found
+
+
+def test_workers_forget_other_operators_tables():
+    from lattica.llm import common, token_counts, words
+
+    words.word_hashes([b"one", b"two"])
+    token_counts._ENCODERS["a path", True] = object()
+    seen = []
+
+    def run(batches):
+        seen.append((bool(words._HASHES), bool(token_counts._ENCODERS)))
+        yield from batches
+
+    assert list(common.tidy(run, "words")([1, 2])) == [1, 2] and seen == [(True, False)]
+    list(common.tidy(run)([]))
+    assert seen[1] == (False, False)
