@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import remove, shared_folder, table
-from lattica.llm.compression_classifier import classify, fit, fit_rows
+from lattica.llm.compression_classifier import classify, fit_tables
 from lattica.llm.line_dedup import line_dedup
 from lattica.llm.ngram_jaccard import jaccard_components
 from lattica.llm.packing import packed
@@ -41,7 +41,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     It is fitted on labelled rows of the raw table: this stage's own input has hardly any bad ones left.
     """
-    model = fit(*fit_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    model = fit_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _with_own_columns(docs, lambda x: classify(x, model), "predicted = 1")
 
 

@@ -62,6 +62,12 @@ def _meet(lines: DataFrame, found: DataFrame, most: int) -> DataFrame:
     return lines.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(repeated, ["line", "__salt"]).drop("__salt")
 
 
+def _flags(at: str) -> Column:
+    """For each line up to the last of the sorted positions ``at`` whether it is one of them, so that a line's fate is one look-up: a search of the list takes the square of a text's lines."""
+    steps = F.zip_with(at, F.concat(F.array(F.lit(-1)), at), lambda this, last: this - last)  # null at its end
+    return F.flatten(F.transform(F.filter(steps, F.isnotnull), lambda n: F.concat(F.array_repeat(F.lit(False), n - 1), F.array(F.lit(True)))))
+
+
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, site_column: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Every row of ``docs`` with its text without boilerplate lines, and ``n_removed``, the lines that went.
 
@@ -71,14 +77,16 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR,
     """
     rest = docs.drop("n_removed")
     found = line_spread(rest, min_sites, near, site_column)
-    lines = rest.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(_keys(F.col("text"))).alias("at", "line")).where("line IS NOT NULL")
+    keyed = rest.select("doc_id", F.xxhash64("text").alias("mark"), _keys(F.col("text")).alias("keys"))  # before the lines are dealt out: else each carries and hashes the whole text
+    lines = keyed.select("doc_id", "mark", F.posexplode("keys").alias("at", "line")).where("line IS NOT NULL")
     gone = _meet(lines, found, broadcast_lines).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    gone = gone.groupBy(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).agg(F.collect_set("at").alias("__gone"))  # of one text: no more than its lines
+    gone = gone.groupBy(F.col("doc_id").alias("__gone_id"), F.col("mark").alias("__gone_mark")).agg(F.sort_array(F.collect_set("at")).alias("__at"))  # of one text: no more than its lines
+    gone = gone.select("__gone_id", "__gone_mark", _flags("__at").alias("__gone"), F.size("__at").alias("__n"))
     marked = rest.withColumn("__mark", F.xxhash64("text"))
     joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__mark") == F.col("__gone_mark")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("__gone", i), F.lit(False))), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in rest.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in rest.columns], F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

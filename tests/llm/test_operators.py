@@ -418,6 +418,22 @@ def test_line_dedup_of_footers_and_lone_lines(spark):
         assert {x.doc_id: x.text for x in got.collect()} == want
 
 
+def test_lines_do_not_carry_their_text(spark):
+    rows = [(k, "\n".join(x for j in range(300) for x in (f"own {k} {j}", f" shared {j % 100}", "")), f"s{k}") for k in range(12)]
+    import corpus_pipeline
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.line_dedup(frame)
+    for frames in (got, corpus_pipeline.line_stage(spark, frame.withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(1)), "")):
+        plan = frames._jdf.queryExecution().optimizedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "Generate" in x]
+        assert dealt and not any("text#" in x for x in dealt)  # each of these takes the square of a text's length
+        assert "array_contains" not in plan and all(re.match(r"__gone#\d+", x) for x in re.split(r"\bget\(", plan)[1:])
+    for x in got.collect():
+        want = rows[x.doc_id][1] if x.doc_id == 0 else "\n".join(x for x in rows[x.doc_id][1].split("\n") if "shared" not in x)
+        assert x.text == want and x.n_removed == (300 if x.doc_id else 0)
+
+
 def test_line_query_against_sql(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     rows = [(k, None if k % 41 == 0 else "\n".join([f"line {k % 7}", "", f"  shared {k % 3} ", f"own {k}"][: 1 + k % 4]), None if k % 13 == 0 else f"s{k % 17}") for k in range(300)]
@@ -487,6 +503,38 @@ def test_classifier_of_long_texts(spark):
             assert (scorer.score([long[:500_000], long]) >= 0.7).tolist() == [v == 1] * 2
 
 
+def test_classifier_keeps_texts_off_the_driver(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = {v: np.array(list("abcde \u00e9\U0001f600\n" if v else "fghij \u4e2d\n")) for v in (0, 1)}
+    rows = [(k, "".join(rng.choice(letters[k % 2], 40_000 + k)) if k % 5 else f"short {k}") for k in range(80)] + [(3, "again"), (81, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    want = compression_classifier.fit(*compression_classifier.fit_rows(docs, labels))
+    for t in [t for _, t in rows if t] + ["x" * 32_769, "\u00e9" * 200_000]:
+        raw, pieces = t.encode(), compression_classifier.FIT_BYTES // compression_classifier.CHUNK_BYTES
+        size = max(1, len(t) * compression_classifier.CHUNK_BYTES // len(raw))
+        parts = [t[k * (len(t) - size) // (pieces - 1) :][:size] for k in range(pieces)]
+        assert compression_classifier.spread_text(raw) == (raw if len(raw) <= compression_classifier.FIT_BYTES else "".join(parts).encode())
+
+    got, kind = [], type(docs)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: got.append(collect(self)) or got[-1])
+    import corpus_pipeline
+
+    kept = corpus_pipeline.classifier_stage(spark, docs, str(tmp_path))
+    op7 = compression_classifier.op7_quality_classifier(spark, str(tmp_path))
+    monkeypatch.undo()
+    sent = sum(len(x) for rows in got for r in rows for x in r if isinstance(x, (str, bytes, bytearray)))
+    assert 0 < sent <= 2 * 45 * compression_classifier.DICTIONARY_CHUNKS * compression_classifier.CHUNK_BYTES  # of either fit every second row of at most 80
+    assert compression_classifier.fit_tables(docs, labels) == want and want.slope > 0
+    assert sorted(op7.select("doc_id", "score").collect()) == sorted(compression_classifier.classify(docs, want).select("doc_id", "score").collect())
+    assert kept.count() == op7.where("predicted = 1").count()
+    few = labels.where("doc_id < 8")
+    assert compression_classifier.fit_tables(docs, few) == compression_classifier.fit(*compression_classifier.fit_rows(docs, few))
+
+
 def test_classifier_fits_on_whole_texts(spark):
     long = "".join(f"{k % 10}" * 1000 for k in range(200)) + "\u00e9" * 20_000
     docs = spark.createDataFrame([(k, long if k % 2 else "short") for k in range(1, 5)], "doc_id long, text string")
