@@ -41,13 +41,14 @@ class BinEdgeError(RuntimeError):
 
 @dataclass(frozen=True)
 class Coord:
-    """A coordinate over ``dims``: a column of the frame, or bin edges along one dim held here."""
+    """A coordinate over ``dims``: a column of the frame, bin edges along one dim held here, or many labels of bins in a frame of label and place."""
 
     dims: tuple[str, ...]
     unit: Unit | None = ONE
     dtype: str = "float64"
     edges: np.ndarray | None = None
     aligned: bool = True
+    labels: DataFrame | None = None
 
 
 @dataclass(frozen=True)

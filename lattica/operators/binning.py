@@ -1,6 +1,6 @@
 """Binning: histograms, binned events, grouping by label, re-binning, split-apply-combine.
 
-Bins are half-open. Edges live on the driver: uniform ones become arithmetic, others a binary tree of comparisons, so the index
+Bins are half-open. Edges and a few labels live on the driver: uniform ones become arithmetic, others a binary tree of comparisons, so the index
 of a bin is a plain column and the aggregation combines on the map side before its only shuffle. Results are dense: empty bins
 hold identity elements.
 """
@@ -23,8 +23,12 @@ from ..plans.shared import checkpointed
 from . import reducers
 from .array import BinEdgeError, Coord, CoordError, DimensionError, LabelledArray, renumbered
 
-#: Dense results beyond this many cells are refused.
-MOST_CELLS = 10_000_000
+#: Dense results beyond this many cells are refused; they are spread over executors.
+MOST_CELLS = 1_000_000_000
+#: So many cells may be laid out in one task.
+SERIAL_CELLS = 10_000_000
+#: More labels than these stay in a frame on the executors.
+DRIVER_LABELS = 10_000
 #: Labels are broadcast up to so many bytes, joined by shuffle beyond.
 BROADCAST_BYTES = 64 << 20
 
@@ -113,6 +117,9 @@ class Binned:
     def unit(self) -> Unit | None:
         return self.events.unit
 
+    def _labelled(self, c: Coord) -> bool:
+        return c.labels is not None or len(c.edges) == self.sizes.get(c.dims[0])
+
     def _dense(self, aggregates: list[Column], fill: dict[str, object]) -> DataFrame:
         df = self.events.df
         found = df.groupBy(*self.dims).agg(*aggregates) if self.dims else df.agg(*aggregates)
@@ -134,9 +141,11 @@ class Binned:
         df = self._dense([value.alias("value"), *([variance.alias("variance")] if variance is not None else [])], fill)
         coords = {n: c for n, c in self.coords.items() if set(c.dims) <= set(self.dims)}
         for n, c in coords.items():
-            if c.edges is not None and len(c.edges) == self.sizes[c.dims[0]]:  # labels
+            if c.labels is not None:
+                df = df.join(c.labels.select(F.col("_place").alias(c.dims[0]), F.col("_label").alias(f"c_{n}")), c.dims[0], "left")
+            elif c.edges is not None and len(c.edges) == self.sizes[c.dims[0]]:  # labels
                 df = with_labels(df, c.dims[0], c.edges.tolist(), f"c_{n}")
-        coords = {n: replace(c, edges=None) if len(c.edges) == self.sizes[c.dims[0]] else c for n, c in coords.items()}
+        coords = {n: replace(c, edges=None, labels=None) if self._labelled(c) else c for n, c in coords.items()}
         out_array = LabelledArray(df, self.dims, self.sizes, coords, {}, reducers.result_unit(op, e.unit), out, variance is not None)
         for m, mask in self.masks.items():
             out_array = replace(out_array, df=out_array.df.join(mask, [d for d in mask.columns if d in self.dims], "left").withColumn(f"m_{m}", F.coalesce(F.col(f"m_{m}"), F.lit(False))), masks={**out_array.masks, m: tuple(d for d in mask.columns if d in self.dims)})
@@ -151,7 +160,7 @@ class Binned:
 
     def size(self) -> LabelledArray:
         df = self._dense([F.count(F.lit(1)).alias("value")], {"value": 0})
-        return LabelledArray(df, self.dims, self.sizes, {n: c for n, c in self.coords.items() if len(c.edges) != self.sizes.get(c.dims[0])}, {}, None, "int64")
+        return LabelledArray(df, self.dims, self.sizes, {n: c for n, c in self.coords.items() if not self._labelled(c)}, {}, None, "int64")
 
     def hist(self, **edges) -> LabelledArray:
         return hist(self, **edges) if edges else self.reduce("sum")
@@ -222,9 +231,11 @@ class Binned:
 
     def constituents(self) -> DataFrame:
         """``begin`` and ``end`` of each bin in events laid out bin by bin."""
+        if int(np.prod(list(self.sizes.values()))) > SERIAL_CELLS:
+            raise DimensionError(f"more than {SERIAL_CELLS} cells are too many to be laid out one after another")
         counts = self.size().df
         w = Window.orderBy(*self.dims).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumn("end", F.sum("value").over(w)).select(*self.dims, (F.col("end") - F.col("value")).alias("begin"), "end")  # dense, so bounded by MOST_CELLS
+        return counts.withColumn("end", F.sum("value").over(w)).select(*self.dims, (F.col("end") - F.col("value")).alias("begin"), "end")  # bounded by SERIAL_CELLS
 
     def bins_like(self, fill: LabelledArray) -> Binned:
         return self.map(lambda _, y: y, fill)
@@ -275,16 +286,24 @@ def group(x: LabelledArray | Binned, /, **labels) -> Binned:
     for name, wanted in labels.items():
         column, is_float = F.col(f"c_{name}"), events.coords[name].dtype.startswith("float")
         if wanted is None:
-            distinct = df.select(column.alias("v")).where(column.isNotNull()).distinct().limit(MOST_CELLS + 1).toArrow().column(0).to_pylist()
-            if len(distinct) > MOST_CELLS:
+            fine = column.isNotNull() & ~F.isnan(column) if is_float else column.isNotNull()
+            distinct = df.where(fine).select(column.alias("_label")).distinct()
+            count = distinct.count()
+            if count > MOST_CELLS:
                 raise DimensionError(f"over {MOST_CELLS} labels of {name!r} are too many for a dense result: aggregate the frame by its column")
-            wanted = sorted(v for v in distinct if not (is_float and v != v))
-        wanted = list(wanted)
-        if len(set(wanted)) < len(wanted):
-            raise CoordError(f"labels of {name!r} repeat")
-        table = label_table(df.sparkSession, wanted, dict(df.dtypes)[f"c_{name}"], "_label", name)
+            wanted = sorted(distinct.toArrow().column(0).to_pylist()) if count <= DRIVER_LABELS else None
+        coord, labels = Coord((name,), events.coords[name].unit, events.coords[name].dtype), None
+        if wanted is None:
+            labels = renumbered(distinct.withColumn("_place", F.lit(0).cast("long")), "_place", [F.col("_label").asc()])
+            table = labels.withColumnRenamed("_place", name)
+        else:
+            wanted = list(wanted)
+            count = len(wanted)
+            if len(set(wanted)) < count:
+                raise CoordError(f"labels of {name!r} repeat")
+            table = label_table(df.sparkSession, wanted, dict(df.dtypes)[f"c_{name}"], "_label", name)
         df = df.drop(name).join(table, column == F.col("_label")).drop("_label")
-        dims, sizes, known = (*(d for d in dims if d != name), name), {**sizes, name: len(wanted)}, {**known, name: Coord((name,), events.coords[name].unit, events.coords[name].dtype, np.array(wanted))}
+        dims, sizes, known = (*(d for d in dims if d != name), name), {**sizes, name: count}, {**known, name: replace(coord, edges=None if wanted is None else np.array(wanted), labels=labels)}
     return Binned(replace(events, df=df, dims=(), sizes={}), dims, sizes, known, {})
 
 

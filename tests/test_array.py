@@ -317,3 +317,21 @@ def test_series_across_chunks(spark, monkeypatch):
         assert not from_numpy(spark, ["x"], y).allsorted("x") and not from_numpy(spark, ["x"], y).islinspace("x")
     assert from_numpy(spark, ["x"], np.arange(42.0)).allsorted("x") and from_numpy(spark, ["x"], np.arange(42.0)).islinspace("x")
     assert from_numpy(spark, ["x"], np.arange(42)).cumsum().to_numpy().tolist() == np.arange(42).cumsum().tolist()
+
+
+def test_many_labels_stay_off_the_driver(spark, monkeypatch):
+    from lattica.operators import binning
+
+    rows = [(f"n{k % 50:02d}", float(k % 2), float(k)) for k in range(200)] + [(None, 0.0, 1.0)]
+    a = table(spark.createDataFrame(rows, "n string, s double, v double"), value=F.col("v"), coords={"n": (F.col("n"), None), "s": (F.col("s"), None)})
+    few = group(a, n=None)
+    want = few.sum().df.orderBy("n").collect()
+    monkeypatch.setattr(binning, "DRIVER_LABELS", 40)
+    many = group(a, n=None)
+    assert many.coords["n"].edges is None and many.sizes == few.sizes == {"n": 50}
+    assert [r.asDict() for r in many.sum().df.orderBy("n").collect()] == [r.asDict() for r in want]
+    assert values(many.size()) == [4] * 50 and values(many["s", 5.0:].size()) == [0] * 50
+    both = group(many, s=None)
+    assert both.sum().df.count() == 100 and both.concat("s").sum().df.agg(F.sum("value")).first()[0] == sum(range(200))
+    floats = table(spark.createDataFrame([(float(k % 60),) for k in range(90)] + [(NAN,)], "x double"), coords={"x": (F.col("x"), None)})
+    assert values(group(floats, x=None).size()) == [2] * 30 + [1] * 30
