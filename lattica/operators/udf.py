@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.quantity import Quantity, VariancesError
 from ..units import ONE, Unit, UnitError
-from .array import BinEdgeError, CoordError, DimensionError, LabelledArray
+from .array import CHUNK, BinEdgeError, CoordError, DimensionError, LabelledArray, with_next
 
 
 def elemwise_func(function: Callable[..., object], unit_func: Callable[..., Unit | None] | None = None, dtype: str = "float64") -> Callable[..., Quantity]:
@@ -319,14 +319,22 @@ def sosfiltfilt(array: LabelledArray, dim: str, sos: np.ndarray) -> LabelledArra
 
 
 def find_peaks(array: LabelledArray, *, height: float | None = None, threshold: float | None = None):
-    """Positions of local maxima; the middle of a plateau. ``threshold``: least drop to both neighbours."""
+    """Positions of local maxima; the middle of a plateau. ``threshold``: least drop to both neighbours.
+
+    The ends of runs of equal values are found and met by their neighbours in chunks; a run that begins before its chunk gets the
+    last end before it by a row for each chunk, so neither a long dim nor a long plateau is a single task.
+    """
     (dim,) = array.dims
-    w = Window.orderBy(dim)
-    runs = array.df.select(dim, "value").withColumn("_new", F.coalesce((~F.col("value").eqNullSafe(F.lag("value").over(w))).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    flat = runs.groupBy("_run").agg(F.min(dim).alias("a"), F.max(dim).alias("b"), F.first("value").alias("value"))
-    v = Window.orderBy("_run")
-    left, right = F.lag("value").over(v), F.lead("value").over(v)
-    found = flat.select(F.floor((F.col("a") + F.col("b")) / 2).alias(dim), "value", left.alias("l"), right.alias("r"), (F.col("b") > F.col("a")).alias("flat")).where("value > l AND value > r")
+    array.size_of(dim)
+    chunk = F.call_function("div", F.col("_b"), F.lit(CHUNK).cast("long"))
+    ends = with_next(array.df.select(dim, "value"), dim, [], "value").where(~F.col("value").eqNullSafe(F.col("_next")))
+    ends = ends.select(F.col(dim).alias("_b"), "value", F.col("_next").alias("_r")).withColumn("_chunk", chunk)
+    lasts = ends.groupBy("_chunk").agg(F.max(F.struct("_b", F.col("value").alias("_l"))).alias("_last"))
+    lasts = lasts.select(F.lead("_chunk").over(Window.orderBy("_chunk")).alias("_chunk"), "_last")  # a row for each chunk
+    inside = F.lag(F.struct("_b", F.col("value").alias("_l"))).over(Window.partitionBy("_chunk").orderBy("_b"))
+    before = F.coalesce("_inside", "_last")
+    runs = ends.withColumn("_inside", inside).join(lasts, "_chunk", "left").select((before["_b"] + 1).alias("_a"), "_b", "value", before["_l"].alias("l"), F.col("_r").alias("r"))
+    found = runs.select(F.floor((F.col("_a") + F.col("_b")) / 2).alias(dim), "value", "l", "r", (F.col("_b") > F.col("_a")).alias("flat")).where("value > l AND value > r")
     if height is not None:
         found = found.where(F.col("value") >= height)
     if threshold is not None:

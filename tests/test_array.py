@@ -335,3 +335,29 @@ def test_many_labels_stay_off_the_driver(spark, monkeypatch):
     assert both.sum().df.count() == 100 and both.concat("s").sum().df.agg(F.sum("value")).first()[0] == sum(range(200))
     floats = table(spark.createDataFrame([(float(k % 60),) for k in range(90)] + [(NAN,)], "x double"), coords={"x": (F.col("x"), None)})
     assert values(group(floats, x=None).size()) == [2] * 30 + [1] * 30
+
+
+def test_peaks_across_chunks(spark, monkeypatch):
+    from lattica.operators import array
+
+    monkeypatch.setattr(array, "CHUNK", 5)
+    monkeypatch.setattr(udf, "CHUNK", 5)
+
+    def peaks(v):
+        found, k = [], 0
+        while k < len(v):
+            j = k
+            while j + 1 < len(v) and v[j + 1] == v[k]:
+                j += 1
+            if 0 < k and j + 1 < len(v) and v[k - 1] < v[k] > v[j + 1]:
+                found.append((k + j) // 2)
+            k = j + 1
+        return found
+
+    rng = np.random.default_rng(5)
+    for v in (rng.integers(0, 4, 60), np.repeat([0, 3, 1, 2, 0], [4, 23, 1, 12, 3]), np.repeat([2, 1, 2], [11, 3, 9]), np.zeros(12), np.repeat(rng.integers(0, 3, 20), rng.integers(1, 14, 20))):
+        a = from_numpy(spark, ["x"], v.astype(float))
+        found = udf.find_peaks(a)
+        assert sorted(r.x for r in found.collect()) == peaks(v.tolist())
+    tasks = udf.find_peaks(from_numpy(spark, ["x"], np.sin(np.arange(500.0))), height=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert tasks.count("SinglePartition") == 1  # for the rows of chunks
