@@ -79,12 +79,13 @@ def _points(array: LabelledArray, dim: str) -> str:
 
 
 def trapezoid(array: LabelledArray, dim: str) -> LabelledArray:
-    """The integral along ``dim`` by trapezoids, on the JVM."""
+    """The integral along ``dim`` by trapezoids, on the JVM and by chunks."""
     x = _points(array, dim)
+    array.size_of(dim)
     rest = tuple(d for d in array.dims if d != dim)
-    w = Window.partitionBy(*rest).orderBy(dim)
-    area = (F.col(x) - F.lag(x).over(w)) * (F.col("value") + F.lag("value").over(w)) / 2
-    df = array.df.select(*rest, area.alias("a")).groupBy(*rest).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("value"))
+    near = with_next(array.df.select(*array.dims, F.struct(F.col(x).alias("x"), F.col("value").alias("y")).alias("_at")), dim, rest, "_at")
+    area = (F.col("_next.x") - F.col("_at.x")) * (F.col("_next.y") + F.col("_at.y")) / 2
+    df = near.select(*rest, area.alias("a")).groupBy(*rest).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("value"))
     return LabelledArray(df, rest, {d: array.sizes[d] for d in rest}, {}, {}, array.unit * array.coords[dim].unit)
 
 

@@ -361,3 +361,17 @@ def test_peaks_across_chunks(spark, monkeypatch):
         assert sorted(r.x for r in found.collect()) == peaks(v.tolist())
     tasks = udf.find_peaks(from_numpy(spark, ["x"], np.sin(np.arange(500.0))), height=0.5)._jdf.queryExecution().executedPlan().toString()
     assert tasks.count("SinglePartition") == 1  # for the rows of chunks
+
+
+def test_trapezoid_across_chunks(spark, monkeypatch):
+    from lattica.operators import array
+
+    monkeypatch.setattr(array, "CHUNK", 6)
+    rng = np.random.default_rng(7)
+    x, y = np.cumsum(rng.uniform(0.1, 2, 31)), rng.uniform(-3, 9, (2, 31))
+    a = from_numpy(spark, ["g", "t"], y, coords={"t": (("t",), x, "s")})
+    found = udf.trapezoid(a, "t")
+    assert values(found) == pytest.approx(np.trapezoid(y, x, axis=1).tolist())
+    assert values(udf.trapezoid(from_numpy(spark, ["t"], [4.0], coords={"t": (("t",), [1.0], "s")}), "t")) == [0.0]
+    one = udf.trapezoid(a["g", 0], "t").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_chunk" in one  # not one window over the whole dim
