@@ -1,7 +1,7 @@
 """User functions and what needs whole series: fits, interpolation, integrals, filters, peaks.
 
-Functions along one dim run per slice (the other dims are the groups) in Arrow batches; a slice has to fit into a task.
-Integrals, differences and footprint extremes are windows on the JVM.
+Functions along one dim run per slice (the other dims are the groups) in Arrow batches; a slice has to fit into a task. Functions
+of neighbourhoods (filters) go by chunks of a dim; integrals by trapezoids and peaks are windows on the JVM, by chunks too.
 """
 
 from __future__ import annotations
@@ -72,6 +72,43 @@ def wrap1d(function: Callable[..., np.ndarray]) -> Callable[..., LabelledArray]:
     return apply
 
 
+def windowed1d(function: Callable[[np.ndarray], np.ndarray], left: int, right: int) -> Callable[[LabelledArray, str], LabelledArray]:
+    """Lift a function of neighbourhoods to arrays: values with ``left`` more before and ``right`` more after them become those values' results; edges are mirrored.
+
+    A dim goes by chunks, each with the neighbours that its first and last positions need.
+    """
+    if min(left, right) < 0:
+        raise ValueError("the origin is outside the footprint")
+
+    def apply(array: LabelledArray, dim: str) -> LabelledArray:
+        if array.has_variance:
+            raise VariancesError("functions along a dim have no rule for variances")
+        if any(dim in own for own in array.masks.values()):
+            raise DimensionError("masks along the dim are not taken")
+        n, chunk, reach = array.size_of(dim), CHUNK, max(left, right)
+        rest = [d for d in array.dims if d != dim]
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(dim)
+            start = int(rows["_chunk"].iloc[0]) * chunk
+            stop, first, last = min(n, start + chunk), int(rows[dim].iloc[0]), int(rows[dim].iloc[-1])
+            if (first, last, len(rows)) != (max(0, start - reach), min(n, stop + reach) - 1, last - first + 1):
+                raise DimensionError(f"positions along {dim!r} are missing or repeated")
+            before, after = left if first == 0 else 0, right if last == n - 1 else 0
+            padded = np.pad(rows["value"].to_numpy(dtype=np.float64), (before, after), mode="symmetric")
+            at = start - left - (first - before)
+            return pd.DataFrame({**{d: rows[d].iloc[0] for d in rest}, dim: np.arange(start, stop), "value": function(padded[at : at + stop - start + left + right])})
+
+        of = lambda x: F.call_function("div", x, F.lit(chunk).cast("long"))
+        seen = F.sequence(of(F.greatest(F.col(dim) - reach, F.lit(0))), of(F.least(F.col(dim) + reach, F.lit(n - 1))))
+        dealt = array.df.select(*array.dims, "value", F.explode(seen).alias("_chunk"))
+        found = dealt.groupBy(*rest, "_chunk").applyInPandas(run, ", ".join([*(f"{d} long" for d in rest), f"{dim} long, value double"]))
+        joined = found.join(array.df.drop("value"), list(array.dims))
+        return replace(array, df=joined.select(*array.df.columns), dtype="float64")
+
+    return apply
+
+
 def _points(array: LabelledArray, dim: str) -> str:
     if dim not in array.coords or array.coords[dim].edges is not None:
         raise CoordError(f"{dim!r} needs a coordinate with a value for each point")
@@ -212,26 +249,16 @@ def gaussian_kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> np.n
     return g
 
 
-def _correlated(v: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    radius = len(kernel) // 2
-    return np.convolve(np.pad(v, radius, mode="symmetric"), kernel[::-1], mode="valid")
-
-
 def gaussian_filter(array: LabelledArray, sigma: float | dict[str, float], order: int = 0) -> LabelledArray:
     """Smoothing along every dim given, edges mirrored."""
     out = array
     for dim, s in (sigma if isinstance(sigma, dict) else dict.fromkeys(array.dims, sigma)).items():
         kernel = gaussian_kernel(s, order)
-        out = wrap1d(lambda v, kernel=kernel: _correlated(v, kernel))(out, dim)
+        radius = len(kernel) // 2
+        out = windowed1d(lambda v, kernel=kernel: np.convolve(v, kernel[::-1], mode="valid"), radius, radius)(out, dim)
     return out
 
 
-def _footprint(values: np.ndarray, size: int, origin: int) -> np.ndarray:
-    left = size // 2 + origin
-    padded = np.pad(values, (left, size - 1 - left), mode="symmetric") if len(values) else values
-    return np.lib.stride_tricks.sliding_window_view(padded, size)
-
-
 def footprint_filter(function: Callable[[np.ndarray], np.ndarray]) -> Callable[..., LabelledArray]:
     """A filter from a function of windows (the last axis); ``f(array, size=3 or {dim: size}, origin=0)`` along one dim."""
 
@@ -242,7 +269,8 @@ def footprint_filter(function: Callable[[np.ndarray], np.ndarray]) -> Callable[.
             raise DimensionError("this footprint has one dim")
         out = array
         for dim, n in sizes.items():
-            out = wrap1d(lambda v, n=n: function(_footprint(v, n, origin), **options))(out, dim)
+            left = n // 2 + origin
+            out = windowed1d(lambda v, n=n: function(np.lib.stride_tricks.sliding_window_view(v, n), **options), left, n - 1 - left)(out, dim)
         return out
 
     return apply

@@ -375,3 +375,28 @@ def test_trapezoid_across_chunks(spark, monkeypatch):
     assert values(udf.trapezoid(from_numpy(spark, ["t"], [4.0], coords={"t": (("t",), [1.0], "s")}), "t")) == [0.0]
     one = udf.trapezoid(a["g", 0], "t").df._jdf.queryExecution().optimizedPlan().toString()
     assert "_chunk" in one  # not one window over the whole dim
+
+
+def test_filters_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(udf, "CHUNK", 8)
+    rng = np.random.default_rng(8)
+    y = rng.uniform(-3, 9, (2, 37))
+
+    def windows(size, origin):
+        left = size // 2 + origin
+        return np.lib.stride_tricks.sliding_window_view(np.pad(y, ((0, 0), (left, size - 1 - left)), mode="symmetric"), size, axis=1)
+
+    a = from_numpy(spark, ["g", "x"], y)
+    for size, origin in ((3, 0), (4, 1), (21, -2), (90, 0)):  # up to beyond a chunk, and beyond the dim
+        w = windows(size, origin)
+        assert np.array_equal(udf.maximum_filter(a, size={"x": size}, origin=origin).to_numpy(), w.max(-1))
+        assert np.array_equal(udf.median_filter(a, size={"x": size}, origin=origin).to_numpy(), np.sort(w, -1)[..., size // 2])
+    kernel = udf.gaussian_kernel(3.0)
+    want = [np.convolve(np.pad(v, len(kernel) // 2, mode="symmetric"), kernel[::-1], mode="valid") for v in y]
+    assert np.allclose(udf.gaussian_filter(a, {"x": 3.0}).to_numpy(), want)
+
+    def counted(v):
+        assert len(v) <= 8 + 2
+        return v[1:-1]
+
+    assert np.array_equal(udf.windowed1d(counted, 1, 1)(a, "x").to_numpy(), y)
