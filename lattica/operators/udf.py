@@ -7,7 +7,7 @@ of neighbourhoods (filters) go by chunks of a dim; integrals by trapezoids and p
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -21,6 +21,10 @@ from ..units import ONE, Unit, UnitError
 from .array import CHUNK, BinEdgeError, CoordError, DimensionError, LabelledArray, with_next
 
 
+#: Slices of up to so many points are fitted in one task.
+FIT_ROWS = 1 << 17
+
+
 def elemwise_func(function: Callable[..., object], unit_func: Callable[..., Unit | None] | None = None, dtype: str = "float64") -> Callable[..., Quantity]:
     """Lift a numeric function (of numpy arrays) to quantities; without ``unit_func`` all have to be dimensionless."""
 
@@ -175,36 +179,66 @@ def interp1d(array: LabelledArray, dim: str, at: np.ndarray, kind: str = "linear
     return LabelledArray(df, array.dims, {**array.sizes, dim: len(at)}, {dim: array.coords[dim]}, {}, array.unit)
 
 
-def least_squares(f: Callable[..., np.ndarray], x: list[np.ndarray], y: np.ndarray, start: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Levenberg-Marquardt within bounds: parameters and their covariance (scaled by the residuals)."""
-    p, damp = np.clip(start.astype(float), low, high), 1e-3
+#: What a point adds up to for a fit: the sum of squared residuals, the Jacobian's products with itself and with the residuals.
+Sums = tuple[float, np.ndarray, np.ndarray]
+
+
+def fit_sums(f: Callable[..., np.ndarray], x: list[np.ndarray], y: np.ndarray, weights: np.ndarray, p: np.ndarray) -> Sums:
     residual = lambda q: (y - f(*x, *q)) * weights
-    r = residual(p)
+    r, steps = residual(p), 1e-7 * np.maximum(1.0, np.abs(p))
+    jacobian = np.stack([(residual(np.where(np.arange(len(p)) == k, p + steps, p)) - r) / steps[k] for k in range(len(p))], axis=1)
+    return float(r @ r), jacobian.T @ jacobian, jacobian.T @ r
+
+
+def levenberg_marquardt(start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> Generator[np.ndarray, Sums, tuple[np.ndarray, np.ndarray, float]]:
+    """Yields the parameters whose :data:`Sums` it needs next; returns parameters, the Jacobian's product with itself and the squared residuals.
+
+    A step that promises less than the sums of squares can tell apart is taken without that proof, at most three in a row.
+    """
+    p, damp, blind = np.clip(start.astype(float), low, high), 1e-3, 0
+    square, a, g = yield p
     for _ in range(rounds):
-        steps = 1e-7 * np.maximum(1.0, np.abs(p))
-        jacobian = np.stack([(residual(np.where(np.arange(len(p)) == k, p + steps, p)) - r) / steps[k] for k in range(len(p))], axis=1)
-        a, g = jacobian.T @ jacobian, jacobian.T @ r
         moved = False
         for _ in range(30):
             step = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), -g, rcond=None)[0]
             trial = np.clip(p + step, low, high)
-            t = residual(trial)
-            if t @ t < r @ r:
-                small = np.abs(trial - p).max() <= 1e-10 * np.maximum(1.0, np.abs(p)).max()
-                p, r, damp, moved = trial, t, max(damp / 5, 1e-12), True
+            d = trial - p
+            faint = blind < 3 and 0 <= -(2 * g @ d + d @ a @ d) <= 1e-13 * square
+            found = yield trial
+            if found[0] < square or (faint and found[0] <= square * (1 + 1e-12)):
+                small = np.abs(d).max() <= 1e-10 * np.maximum(1.0, np.abs(p)).max()
+                p, (square, a, g), damp, moved, blind = trial, found, max(damp / 5, 1e-12), True, blind + 1 if faint else 0
+                break
+            if faint:
                 break
             damp *= 4
-        if not moved or small:
+        if not moved or small or blind == 3:
             break
-    free = max(len(y) - len(p), 1)
-    return p, np.linalg.pinv(jacobian.T @ jacobian) * (r @ r / free)
+    return p, a, square
+
+
+def least_squares(f: Callable[..., np.ndarray], x: list[np.ndarray], y: np.ndarray, start: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Levenberg-Marquardt within bounds: parameters and their covariance (scaled by the residuals)."""
+    steps = levenberg_marquardt(start, low, high, rounds)
+    p = next(steps)
+    while True:
+        try:
+            p = steps.send(fit_sums(f, x, y, weights, p))
+        except StopIteration as done:
+            return _fitted(*done.value, len(y))
+
+
+def _fitted(p: np.ndarray, a: np.ndarray, square: float, points: int) -> tuple[np.ndarray, np.ndarray]:
+    return p, np.linalg.pinv(a) * (square / max(points - len(p), 1))
 
 
 def curve_fit(coords: list[str], f: Callable[..., np.ndarray], array: LabelledArray, *, p0: dict[str, float] | None = None, bounds: dict[str, tuple[float, float]] | None = None, reduce_dims: list[str] | None = None):
     """Fit ``f(*coords, **parameters)`` over ``reduce_dims`` for every slice of the other dims.
 
     Returns a frame: the other dims, then each parameter and its variance. Masked points and NaN are left out, variances of the
-    array are weights; parameters start at ``p0`` or 1.
+    array are weights; parameters start at ``p0`` or 1. ``f`` is called with some points of a slice at a time: a slice of up to
+    ``FIT_ROWS`` points is fitted in one task, a larger one by a pass of all tasks over its points for each step, of which the
+    driver gets the sums.
     """
     names = [n for n in inspect.signature(f).parameters if n not in coords]
     if any(c not in array.coords or array.coords[c].edges is not None for c in coords):
@@ -216,22 +250,64 @@ def curve_fit(coords: list[str], f: Callable[..., np.ndarray], array: LabelledAr
     high = np.array([(bounds or {}).get(n, (-np.inf, np.inf))[1] for n in names])
     hidden = [f"m_{m}" for m in array.masks]
     weighted = array.has_variance
+    df = array.df.select(*rest, *(f"c_{c}" for c in coords), F.col("value").cast("double").alias("value"), *(["variance"] if weighted else []), *hidden)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def points(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         used = rows[~rows[hidden].any(axis=1)] if hidden else rows
         used = used[np.isfinite(used["value"])]
-        if len(used) < len(names):
-            p, cov = np.full(len(names), np.nan), np.full((len(names), len(names)), np.nan)
-        else:
-            weights = 1 / np.sqrt(used["variance"].to_numpy(float)) if weighted else np.ones(len(used))
-            p, cov = least_squares(f, [used[f"c_{c}"].to_numpy(float) for c in coords], used["value"].to_numpy(float), start, weights, low, high)
-        out = {d: [rows[d].iloc[0]] for d in rest}
-        for k, n in enumerate(names):
-            out |= {n: [p[k]], f"{n}_variance": [cov[k, k]]}
-        return pd.DataFrame(out)
+        weights = 1 / np.sqrt(used["variance"].to_numpy(float)) if weighted else np.ones(len(used))
+        return [used[f"c_{c}"].to_numpy(float) for c in coords], used["value"].to_numpy(float), weights
+
+    def row(p: np.ndarray, cov: np.ndarray) -> dict[str, float]:
+        return {k: float(v) for i, n in enumerate(names) for k, v in ((n, p[i]), (f"{n}_variance", cov[i, i]))}
+
+    none = np.full(len(names), np.nan), np.full((len(names), len(names)), np.nan)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, weights = points(rows)
+        found = none if len(y) < len(names) else least_squares(f, x, y, start, weights, low, high)
+        return pd.DataFrame({**{d: [rows[d].iloc[0]] for d in rest}, **{k: [v] for k, v in row(*found).items()}})
 
     schema = ", ".join([*(f"{d} long" for d in rest), *(f"{n} double, {n}_variance double" for n in names)])
-    return array.df.groupBy(*rest).applyInPandas(run, schema)
+    large = [tuple(r) for r in df.groupBy(*rest).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FIT_ROWS).select(*rest).collect()]  # at most a slice for each FIT_ROWS rows
+    if not large:
+        return df.groupBy(*rest).applyInPandas(run, schema)
+    spark, k = df.sparkSession, len(names)
+    key = F.broadcast(spark.createDataFrame([(*x, i) for i, x in enumerate(large)], ", ".join([*(f"{d} long" for d in rest), "_slice int"])))
+    theirs = df.join(key, rest) if rest else df.withColumn("_slice", F.lit(0))
+
+    def summed(at: dict[int, np.ndarray]) -> dict[int, tuple[int, Sums]]:
+        """The number of points and the sums of each slice at its parameters, in one pass."""
+
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            totals = {}
+            for batch in batches:
+                of = batch["_slice"].to_numpy()
+                for i in np.unique(of).tolist():
+                    x, y, weights = points(batch[of == i])
+                    square, a, g = fit_sums(f, x, y, weights, at[i])
+                    totals[i] = totals.get(i, 0.0) + np.array([len(y), square, *a.ravel(), *g])
+            yield pd.DataFrame([[i, *x] for i, x in totals.items()], columns=["_slice", *sums])
+
+        sums = [f"s{j}" for j in range(2 + k * k + k)]
+        found = theirs.where(F.col("_slice").isin(list(at))).mapInPandas(some, ", ".join(["_slice int", *(f"{c} double" for c in sums)]))
+        rows = found.groupBy("_slice").agg(*(F.sum(c).alias(c) for c in sums)).collect()  # of a pass, a row for each slice
+        got = {r[0]: np.array(r[1:], dtype=float) for r in rows}
+        return {i: (int(v[0]), (float(v[1]), v[2 : 2 + k * k].reshape(k, k), v[2 + k * k :])) for i, v in got.items()}
+
+    fits = {i: levenberg_marquardt(start, low, high) for i in range(len(large))}
+    at, ended = {i: next(x) for i, x in fits.items()}, {}
+    while at:
+        for i, (n, sums) in summed(at).items():
+            try:
+                if n < k:
+                    raise StopIteration
+                at[i] = fits[i].send(sums)
+            except StopIteration as done:
+                ended[i] = none if n < k else _fitted(*done.value, n)
+                del at[i]
+    fitted = spark.createDataFrame([(*large[i], *row(*x).values()) for i, x in sorted(ended.items())], schema)
+    return fitted.unionByName(df.join(key, rest, "left_anti").groupBy(*rest).applyInPandas(run, schema)) if rest else fitted
 
 
 # -- filters ------------------------------------------------------------------------------------------------------------------

@@ -400,3 +400,23 @@ def test_filters_across_chunks(spark, monkeypatch):
         return v[1:-1]
 
     assert np.array_equal(udf.windowed1d(counted, 1, 1)(a, "x").to_numpy(), y)
+
+
+def test_fits_of_large_slices(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0, 3, 400)
+    y = np.stack([2.5 * np.exp(-0.7 * x) + 0.4, 1.5 * np.exp(-1.2 * x) + 3.0]) + rng.normal(0, 0.02, (2, 400))
+    y[0, 5] = NAN
+    a = from_numpy(spark, ["g", "x"], y, variances=rng.uniform(0.5, 2, y.shape), coords={"x": (("x",), x, "s")}, masks={"m": (("x",), np.arange(400) % 17 == 0)})
+    f = lambda x, a, b, c: a * np.exp(-b * x) + c
+    fit = lambda: [r.asDict() for r in udf.curve_fit(["x"], f, a).orderBy("g").collect()]
+    want = fit()
+    monkeypatch.setattr(udf, "FIT_ROWS", 100)
+    monkeypatch.setattr(udf, "least_squares", None)  # no slice as a whole
+    found = fit()
+    for n in ("a", "b", "c", "a_variance", "b_variance", "c_variance"):
+        assert [r[n] for r in found] == pytest.approx([r[n] for r in want], rel=1e-6)
+    one = udf.curve_fit(["x"], f, a["g", 0]).collect()
+    assert len(one) == 1 and one[0]["b"] == pytest.approx(want[0]["b"], rel=1e-6)
+    empty = udf.curve_fit(["x"], f, a.map(lambda v: q.where(Quantity(F.col("g") == 0, None, None, "bool"), v, Quantity(F.lit(NAN), F.lit(1.0), v.unit)))).orderBy("g").collect()
+    assert empty[0]["a"] == pytest.approx(want[0]["a"], rel=1e-6) and math.isnan(empty[1]["a"])
