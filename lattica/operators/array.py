@@ -488,12 +488,17 @@ class LabelledArray:
         rest = tuple(d for d in self.dims if d not in gone)
         applied = [m for m, own in self.masks.items() if set(own) & set(gone)]
         keep = fold_left(lambda a, b: a & b, [~F.col(f"m_{m}") for m in applied]) if applied else None
-        value, variance = reducers.aggregate(op, F.col("value"), F.col("variance") if self.has_variance else None, keep, self.dtype, ddof)
+        median = op in ("median", "nanmedian")
+        value, variance = reducers.aggregate("nanmax" if median else op, F.col("value"), F.col("variance") if self.has_variance and not median else None, keep, self.dtype, ddof)
+        if median and self.has_variance:
+            raise q.VariancesError(f"{op} has no rule for variances")
         coords = {n: c for n, c in self.coords.items() if not set(c.dims) & set(gone)}
         masks = {m: own for m, own in self.masks.items() if m not in applied}
         carried = [F.first(f"c_{n}").alias(f"c_{n}") for n, c in coords.items() if c.edges is None] + [F.first(f"m_{m}").alias(f"m_{m}") for m in masks]
         aggregates = [value.alias("value"), *([variance.alias("variance")] if variance is not None else []), *carried]
         df = self.df.groupBy(*rest).agg(*aggregates) if rest else self.df.agg(*aggregates)
+        if median:
+            df = with_median(df.drop("value"), self.df, rest, op, keep, self.dtype, "value")
         return LabelledArray(df, rest, {d: self.sizes[d] for d in rest}, coords, masks, reducers.result_unit(op, self.unit), reducers.result_dtype(op, self.dtype), variance is not None, self.name)
 
     def cumsum(self, dim: str | None = None, mode: str = "inclusive") -> LabelledArray:
@@ -517,10 +522,14 @@ class LabelledArray:
         return replace(self, df=df)._with(Quantity(total, None, self.unit, self.dtype))
 
     def reduce_many(self, **ops: str | tuple[str, int]) -> DataFrame:
-        """One row with a column for each named reduction over all dims (``("var", 1)`` names its ddof), all in one pass."""
+        """One row with a column for each named reduction over all dims (``("var", 1)`` names its ddof), all but medians in one pass."""
         keep = fold_left(lambda a, b: a & b, [~F.col(f"m_{m}") for m in self.masks]) if self.masks else None
         named = {n: (op, None) if isinstance(op, str) else op for n, op in ops.items()}
-        return self.df.agg(*(reducers.aggregate(op, F.col("value"), None, keep, self.dtype, ddof)[0].alias(n) for n, (op, ddof) in named.items()))
+        medians = {n: op for n, (op, _) in named.items() if op in ("median", "nanmedian")}
+        df = self.df.agg(F.count(F.lit(1)).alias("_rows"), *(reducers.aggregate(op, F.col("value"), None, keep, self.dtype, ddof)[0].alias(n) for n, (op, ddof) in named.items() if n not in medians))
+        for n, op in medians.items():
+            df = with_median(df, self.df, (), op, keep, self.dtype, n)
+        return df.select(*named)
 
 
 for _name in ("sum", "nansum", "mean", "nanmean", "min", "max", "nanmin", "nanmax", "all", "any", "median", "nanmedian"):
@@ -566,6 +575,35 @@ def renumbered(df: DataFrame, dim: str, order: list[Column] | None = None) -> Da
     return placed.join(F.broadcast(ahead), "_part").withColumn(dim, F.col("_n") + F.col("_ahead")).select(*df.columns)
 
 
+def with_median(df: DataFrame, values: DataFrame, rest: tuple[str, ...], op: str, keep: Column | None, dtype: str, name: str) -> DataFrame:
+    """``df``, a row for each slice of ``rest``, with the exact median of ``values`` as ``name``.
+
+    Distinct values are counted and range-partitioned, so no task gets all of a slice's; the counts of partitions tell which of
+    them hold its middle, and only those are counted on.
+    """
+    value = F.col("value").cast("double")
+    rows = values.select(*rest, value.alias("_v")).where((F.lit(True) if keep is None else keep) & F.col("value").isNotNull())
+    counts = rows.groupBy(*rest, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if dtype.startswith("float") and op == "nanmedian":
+        counts = counts.where(~F.isnan("_v"))
+    order = [*rest, "_v"]
+    placed = checkpointed(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy(*rest, "_part").agg(F.sum("_c").alias("_s"), F.max("_v").alias("_last"))  # a row for each partition, and slice in it
+    up = Window.partitionBy(*rest).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*rest)
+    parts = parts.select(*rest, "_part", "_s", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_ahead"), F.sum("_s").over(whole).alias("_n"), F.max("_last").over(whole).alias("_most"))
+    low, high = F.call_function("div", F.col("_n") - 1, F.lit(2).cast("long")), F.call_function("div", F.col("_n"), F.lit(2).cast("long"))
+    middle = parts.where((F.col("_ahead") <= high) & (F.col("_ahead") + F.col("_s") > low))
+    found = placed.join(middle, [*rest, "_part"])
+    found = found.withColumn("_upto", F.col("_ahead") + F.sum("_c").over(Window.partitionBy(*rest, "_part").orderBy("_v")))
+    found = found.where((F.col("_upto") > low) & (F.col("_upto") - F.col("_c") <= high)).groupBy(*rest).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.max("_most").alias("_most"))
+    median = F.when(F.isnan("_most"), F.lit(q.NAN)).when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") * 0.5 + F.col("_b") * 0.5)
+    found = found.select(*(F.col(d).alias(f"_{d}") for d in rest), median.cast(q.SPARK[reducers.result_dtype(op, dtype)]).alias(name))
+    on = fold_left(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in rest], F.lit(True))
+    empty = F.lit(reducers.identity(op, dtype)).cast(q.SPARK[reducers.result_dtype(op, dtype)])
+    return df.join(found, on, "left").withColumn(name, F.coalesce(F.col(name), empty)).drop(*(f"_{d}" for d in rest))
+
+
 def concat(arrays: list[LabelledArray], dim: str) -> LabelledArray:
     """Append along an existing dim, or stack along a new one; edges have to meet."""
     first = arrays[0]

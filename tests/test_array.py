@@ -420,3 +420,26 @@ def test_fits_of_large_slices(spark, monkeypatch):
     assert len(one) == 1 and one[0]["b"] == pytest.approx(want[0]["b"], rel=1e-6)
     empty = udf.curve_fit(["x"], f, a.map(lambda v: q.where(Quantity(F.col("g") == 0, None, None, "bool"), v, Quantity(F.lit(NAN), F.lit(1.0), v.unit)))).orderBy("g").collect()
     assert empty[0]["a"] == pytest.approx(want[0]["a"], rel=1e-6) and math.isnan(empty[1]["a"])
+
+
+def test_medians_by_partitions(spark):
+    rng = np.random.default_rng(10)
+    for n in (1, 2, 7, 1000, 1001):
+        y = np.round(rng.normal(0, 3, (3, n)), 1)
+        a = from_numpy(spark, ["g", "x"], y)
+        assert values(a.median("x")) == pytest.approx(np.median(y, axis=1).tolist(), abs=1e-12)
+        assert values(a.median()) == pytest.approx([np.median(y)], abs=1e-12)
+    y[0, 3] = y[1, 4] = NAN
+    y[2] = NAN
+    a = from_numpy(spark, ["g", "x"], y, masks={"m": (("x",), np.arange(1001) == 3)})
+    low, mid, none = values(a.median("x"))
+    assert low == pytest.approx(np.median(np.delete(y[0], 3))) and math.isnan(mid) and math.isnan(none)
+    low, mid, none = values(a.nanmedian("x"))
+    assert mid == pytest.approx(np.nanmedian(np.delete(y[1], 3))) and math.isnan(none)
+    whole = a.reduce_many(total="nansum", median="nanmedian", odd="median")
+    assert whole.columns == ["total", "median", "odd"]
+    assert whole.first()["median"] == pytest.approx(np.nanmedian(np.delete(y, 3, axis=1))) and math.isnan(whole.first()["odd"])
+    assert values(from_numpy(spark, ["x"], [INF, -INF, 5.0]).median()) == [5.0] and values(from_numpy(spark, ["x"], np.array([1, 2])).median()) == [1.5]
+    assert math.isnan(values(table(spark.range(0), value=F.lit(1.0)).median())[0])
+    plan = a.nanmedian().df._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan  # holds all distinct values in one task
