@@ -185,8 +185,8 @@ Sums = tuple[float, np.ndarray, np.ndarray]
 
 def fit_sums(f: Callable[..., np.ndarray], x: list[np.ndarray], y: np.ndarray, weights: np.ndarray, p: np.ndarray) -> Sums:
     residual = lambda q: (y - f(*x, *q)) * weights
-    r, steps = residual(p), 1e-7 * np.maximum(1.0, np.abs(p))
-    jacobian = np.stack([(residual(np.where(np.arange(len(p)) == k, p + steps, p)) - r) / steps[k] for k in range(len(p))], axis=1)
+    r, steps = residual(p), 6e-6 * np.maximum(1.0, np.abs(p)) * np.eye(len(p))
+    jacobian = np.stack([(residual(p + s) - residual(p - s)) / (2 * s.sum()) for s in steps], axis=1)  # central: rounding is small against such steps
     return float(r @ r), jacobian.T @ jacobian, jacobian.T @ r
 
 
